@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, near_dedup, quality, sentencepieces, token_files, toxicity
+from . import decontaminate, exact_dedup, html_text, near_dedup, quality, sentencepieces, suffix_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_decontamination, op5_sentencepiece, op6_simhash_near_dedup, op7_toxicity, op9_html, op10_token_files)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_quality, op4_decontamination, op5_sentencepiece, op6_simhash_near_dedup, op7_toxicity, op9_html, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
