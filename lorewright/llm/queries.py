@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, near_dedup, quality, sentencepieces, suffix_dedup, token_files, toxicity
+from . import decontaminate, exact_dedup, html_text, language_model, near_dedup, quality, sentencepieces, suffix_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(_table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_quality, op4_decontamination, op5_sentencepiece, op6_simhash_near_dedup, op7_toxicity, op9_html, op10_token_files)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_quality, op4_decontamination, op5_sentencepiece, op6_simhash_near_dedup, op7_toxicity, op8_language_model, op9_html, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
