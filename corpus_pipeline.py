@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.llm import exact_dedup, sentencepieces, textkit, toxicity
+from lorewright.llm import decontaminate, exact_dedup, near_dedup, sentencepieces, textkit, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -20,12 +20,22 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the one of the smallest doc_id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or nearly, go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     return sentencepieces.encoded(docs, PIECES)
 
 
-STAGES = [("toxicity", clean), ("exact_dedup", unique), ("sentencepiece", encode)]
+STAGES = [("toxicity", clean), ("exact_dedup", unique), ("near_dedup", dissimilar), ("decontamination", untested), ("sentencepiece", encode)]
 
 #: Learned trees and fingerprints are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
