@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .near_dedup import simhash
 from .textkit import combine, flat, pieces, words
@@ -160,13 +161,13 @@ def slices(items: DataFrame) -> list[tuple[list, list[str]]]:
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity and first_word (from 0) of the best window, for every document and item that match."""
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
-    out = None
+    kind, out = to_arrow_type(kinds[1]), None
     for ids, texts in slices(items):
         sent = docs.sparkSession.sparkContext.broadcast((Index(texts), ids))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, names = sent.value
-            names = pa.array(names)
+            names = pa.array(names, kind)
             for batch in pieces(batches):
                 row, item, like, first = index.search(batch.column("text"))
                 if len(row):

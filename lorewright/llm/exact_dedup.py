@@ -134,10 +134,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text a row of larger id has; all columns stay."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    floor = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(_FLOOR))
+    kept = exact_dedup(docs).where("kept").select(floor("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"))
     own = F.sha2(F.translate(F.coalesce("text", F.lit("")), _UPPER, _UNDER), 256)
-    out = docs.withColumn("_sha", own).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == kept["_sha"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    # repeated rows meet by the join's own keys, so dropping them deals nothing again
+    out = docs.withColumns({"_key": floor("doc_id"), "_sha": own}).join(kept, ["_key", "_sha"], "left_semi")
+    return out.dropDuplicates(["_key", "_sha"]).drop("_key", "_sha")
 
 
 SQL = """

@@ -37,6 +37,7 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 _INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+_WRAPS = {"div", "section", "td", "body", "html", "center", "blockquote", "dd"}
 _MARK = re.compile(r"[.,;:!?…。、，！？؟]")
 THRESHOLD = 0.5
 
@@ -53,10 +54,10 @@ def _unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
-def leaves(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
-    """(path, block number, raw text, wanted) of every text leaf in page order."""
-    stack: list[tuple[str, bool]] = []
-    out, at, block = [], 0, 0
+def leaves(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], int, str, bool, bool]]:
+    """(tag path, elements' numbers, block number, raw text, wanted, in a link) of every text leaf in page order."""
+    stack: list[tuple[str, bool, int]] = []
+    out, at, block, opened = [], 0, 0, 0
     bad = 0  # unwanted elements that are open
 
     def pop() -> None:
@@ -65,7 +66,8 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
 
     def text(raw: str) -> None:
         if raw:
-            out.append((tuple(t for t, _ in stack if t not in _INLINE), block, raw, not bad))
+            own = [(t, k) for t, _, k in stack if t not in _INLINE]
+            out.append((tuple(t for t, _ in own), tuple(k for _, k in own), block, raw, not bad, any(t == "a" for t, _, _ in stack)))
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -79,13 +81,13 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
         tag = m[2].lower()
         block += tag in _BLOCK
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
             continue
         if tag == "br":
-            out.append((tuple(t for t, _ in stack if t not in _INLINE), block, " ", not bad))
+            text(" ")
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK and tag not in _INLINE and tag not in _RAW:
             continue
         if tag in _RAW:
@@ -94,7 +96,7 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
                 pass
             at = end.end() if end else len(page)
             continue
-        if tag in _BLOCK and any(t == "p" for t, _ in stack) and tag not in ("html", "body"):
+        if tag in _BLOCK and any(t == "p" for t, *_ in stack) and tag not in ("html", "body"):
             while stack[-1][0] != "p":  # an open paragraph ends, with what is open inside
                 if stack[-1][0] in _BLOCK:
                     break
@@ -102,7 +104,7 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
             if stack[-1][0] == "p":
                 pop()
         if tag in _CLOSES:
-            names = [t for t, _ in stack]
+            names = [t for t, *_ in stack]
             for k in range(len(names) - 1, -1, -1):
                 if names[k] in _SCOPE[tag] and names[k] not in _CLOSES[tag]:
                     break
@@ -111,7 +113,8 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
                         pop()
                     break
         unwanted = _unwanted(tag, m[3])
-        stack.append((tag, unwanted))
+        opened += 1
+        stack.append((tag, unwanted, opened))
         bad += unwanted
     return out
 
@@ -122,39 +125,46 @@ def _squeezed(raw: str) -> str:
 
 def extract(page: str) -> str:
     """The main text of one page."""
-    found = [x for x in leaves(page) if x[3]]
-    blocks: list[list] = []  # path, raw text
+    blocks: list[list] = []  # path, element numbers, raw text, its part in links
     number = None
-    for path, block, raw, _ in found:
+    for path, numbers, block, raw, wanted, link in leaves(page):
+        if not wanted:
+            continue
         if block != number:
-            blocks.append([path, []])
+            blocks.append([path, numbers, [], 0])
             number = block
-        blocks[-1][1].append(raw)
-        if not raw.isspace() and blocks[-1][0] != path and not "".join(blocks[-1][1][:-1]).strip():
-            blocks[-1][0] = path
-    rows = [(path, t) for path, raw in blocks if (t := _squeezed("".join(raw)))]
+        own = blocks[-1]
+        if not raw.isspace() and not "".join(own[2]).strip():
+            own[:2] = path, numbers
+        own[2].append(raw)
+        own[3] += len(_squeezed(raw)) * link
+    rows = [(path, numbers, t, linked) for path, numbers, raw, linked in blocks if (t := _squeezed("".join(raw)))]
     if not rows:
         return ""
+    for inside in ("article", "main"):  # the page says itself where its content is
+        if any(inside in p for p, *_ in rows):
+            return "\n\n".join(t for p, _, t, _ in rows if inside in p)
     ratio: dict[tuple[str, ...], list[float]] = {}
-    for path, t in rows:
+    for path, _, t, linked in rows:
         r = ratio.setdefault(path, [0, 0, 0])
-        r[0] += len(t)
+        r[0] += max(len(t) - linked, 0)
         r[1] += len(_MARK.findall(t))
         r[2] += 1
-    text, marks = [ratio[p][0] / ratio[p][2] for p, _ in rows], [ratio[p][1] / ratio[p][2] + 0.5 for p, _ in rows]
+    text, marks = [ratio[p][0] / ratio[p][2] for p, *_ in rows], [ratio[p][1] / ratio[p][2] + 0.5 for p, *_ in rows]
     smooth = lambda v: [(v[max(i - 1, 0)] + 2 * v[i] + v[min(i + 1, len(v) - 1)]) / 4 for i in range(len(v))]
     fused = [a * b for a, b in zip(smooth(text), smooth(marks))]
     level = THRESHOLD * sum(fused) / len(fused)
-    for inside in ("article", "main"):  # the page says itself where its content is
-        if any(inside in p for p, _ in rows):
-            return "\n\n".join(t for p, t in rows if inside in p)
-    containers: dict[tuple[str, ...], float] = {}
-    for (path, t), f in zip(rows, fused):
-        if f >= level:
-            containers[path[:-1]] = containers.get(path[:-1], 0) + len(t)
-    most = max(containers.values())
+    # text that stands in a division itself has it as its container, a paragraph or item the element around it
+    around = [numbers if not path or path[-1] in _WRAPS else numbers[:-1] for path, numbers, *_ in rows]
+    containers: dict[tuple[int, ...], int] = {}
+    for c, f, (_, _, t, linked) in zip(around, fused, rows):
+        if f >= level and len(t) > 2 * linked:
+            containers[c] = containers.get(c, 0) + len(t)
+    most = max(containers.values(), default=0)
     chosen = {c for c, v in containers.items() if v >= 0.2 * most}
-    return "\n\n".join(t for path, t in rows if any(path[: len(c)] == c for c in chosen))
+    if not chosen:
+        return "\n\n".join(r[2] for r in rows)
+    return "\n\n".join(t for (_, numbers, t, linked) in rows if any(numbers[: len(c)] == c for c in chosen) and len(t) > linked)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ in seventy-seven is an anchor.
    steps for 200 bytes. Neighbours' extensions are then checked byte by byte; should a hash have collided, that batch is sorted
    by its bytes. A window with o bytes left of the anchor repeats if another context shares its run of common right
    extensions of 200 - o and its run of common left extensions of o. The outermost such windows bound what is removed.
-4. An anchor of more than CROWD contexts is not brought together: its windows are hashed to 128 bits and counted natively.
+4. An anchor of more than CROWD contexts is not brought together: its windows are hashed to 128 bits and counted
+   natively by anchor, place of the anchor in the window, and hash.
 
 Defined results: null counts as empty; texts under 200 bytes are left as they are; a repeated row repeats all its windows; a
 null id is a document like others; an empty table gives no rows; other columns are never read.
@@ -305,8 +306,8 @@ def covered(docs: DataFrame) -> DataFrame:
     if crowded.limit(1).count():
         calm = fetched.join(crowded, "ah", "left_anti")
         windows = fetched.join(crowded, "ah").mapInArrow(_windows, "ah long, ch long, o int, w1 long, w2 long")
-        again = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
-        own = windows.join(again, ["w1", "w2"]).groupBy("ah", "ch").agg(F.max("o").cast("long").alias("l"), (F.lit(LENGTH) - F.min("o")).cast("long").alias("r"))
+        again = windows.groupBy("ah", "o", "w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+        own = windows.join(again, ["ah", "o", "w1", "w2"]).groupBy("ah", "ch").agg(F.max("o").cast("long").alias("l"), (F.lit(LENGTH) - F.min("o")).cast("long").alias("r"))
         parts.append(own)
     parts.append(calm.repartition("ah").sortWithinPartitions("ah").mapInArrow(_suffix_sort, "ah long, ch long, l long, r long"))
     parts.append(contexts.where("n > 1 or more").select("ah", "ch", F.lit(LENGTH).cast("long").alias("l"), F.lit(LENGTH).cast("long").alias("r")))
