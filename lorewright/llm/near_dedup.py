@@ -3,7 +3,7 @@
 1. Every document gets the set of its five-word shingles, a 128-bit identity of that set and a 128-bit SimHash. Documents of
    one shingle set are one class of copies; a class goes on as one representative and is never expanded into pairs.
 2. TABLES tables each sample BITS random coordinates of the SimHash and group representatives by them. At similarity 0.8 two
-   SimHashes differ in about 19 of 128 bits, and more than 99 of 100 such pairs meet in a table; closer ones meet surely.
+   SimHashes differ in about 19 of 128 bits, and even pairs that chance sets 27 bits apart meet in a table in 99.6 of 100 cases.
    A bucket of more than CAP members is dealt again by ADDED further coordinates, in SUBTABLES ways. What is still larger is
    not cut: all its members are joined to its smallest one as candidates, which can only add work, never lose a link.
 3. Within a bucket pairs of Hamming distance RADIUS or less are candidates; only a spanning forest of them is emitted.
@@ -31,7 +31,7 @@ from .exact_dedup import whole_groups
 from .textkit import U64, components, cut, distinct, flat, joined, mix, pieces, shingles, signed, words
 
 WORDS, SIMILARITY = 5, 0.8
-TABLES, BITS, ADDED, SUBTABLES, CAP, RADIUS = 64, 16, 8, 4, 4096, 33
+TABLES, BITS, ADDED, SUBTABLES, CAP, RADIUS = 96, 12, 8, 4, 4096, 34
 TILE, HUBS = 2000, 32
 _FLOOR = -(1 << 63)
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
