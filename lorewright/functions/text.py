@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udf import arrow
+
 _QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "–": "-", "—": "-", "−": "-", "…": "...", " ": " "}
 
 
@@ -47,7 +49,7 @@ def title(c: Column) -> Column:
     return F.array_join(F.transform(letters, lambda x: F.when(x["was"].rlike(r"\p{L}$"), F.lower(x["now"])).otherwise(F.upper(x["now"]))), "")
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def normal_form(text: pd.Series, form: pd.Series) -> pd.Series:
     """NFC, NFD, NFKC or NFKD (Arrow batches)."""
     import unicodedata
@@ -81,7 +83,7 @@ def _bigrams(c: Column) -> Column:
     return F.when(F.length(c) > 1, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array(c))
 
 
-@F.pandas_udf("double")
+@arrow("double")
 def _jaro(left: pd.Series, right: pd.Series) -> pd.Series:
     def one(a: str, b: str) -> float:
         window = max(max(len(a), len(b)) // 2 - 1, 0)
@@ -147,7 +149,7 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x * x))
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def edge_key(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     """FNV-1a over three folded parts, a zero byte after each, as sixteen hexadecimal digits."""
 

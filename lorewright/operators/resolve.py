@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alike, cosine01, fold
+from ..functions.udf import arrow
 from ..plans.iterate import components, settle
 
 
@@ -189,7 +190,7 @@ def repeats(triples: DataFrame, threshold: float, metric: str = "jaro") -> DataF
     return rows.withColumn("like", 0.6 * alike(F.col("a_p"), F.col("b_p"), metric) + 0.4 * alike(F.col("a_o"), F.col("b_o"), metric)).where(F.col("like") >= threshold).select("a", "b", "like")
 
 
-@F.pandas_udf("long")
+@arrow("long")
 def simhash(text: pd.Series) -> pd.Series:
     """64-bit SimHash over distinct folded words, FNV-1a for each."""
 
@@ -211,7 +212,7 @@ def simhash_near(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
-@F.pandas_udf("array<long>")
+@arrow("array<long>")
 def minhash(text: pd.Series) -> pd.Series:
     """64 minima of mixed word hashes."""
     import numpy as np
