@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .near_dedup import simhash
-from .textkit import combine, flat, pieces, words
+from .textkit import combine, flat, light, pieces, words
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 31
 SLICE_ITEMS, SLICE_BYTES = 1000, 4 << 20
@@ -149,7 +149,7 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(items: DataFrame) -> list[tuple[list, list[str]]]:
     """(ids, texts) of each slice; one slice is held at a time by whoever asks for the next."""
-    rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").distinct()
+    rows = light(items).select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").distinct()
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(-(-count // SLICE_ITEMS), -(-size // SLICE_BYTES))
     for k in range(parts):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import cut, flat
+from .textkit import cut, flat, light
 
 TILE_BYTES = 4 << 20
 _UPPER, _UNDER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,7 +106,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
     body = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _UNDER)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FLOOR)).alias("id"), body.alias("t"))
+    rows = light(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FLOOR)).alias("id"), body.alias("t"))
     keyed = rows.select("id", F.xxhash64("t").alias("h"), F.octet_length("t").cast("long").alias("n"), F.sha2("t", 256).alias("sha"))
     many = keyed.groupBy("h", "n").agg(F.count("*").alias("c")).where("c > 1")
     many = cut(many)

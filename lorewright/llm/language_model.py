@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import whole_groups
-from .textkit import U64, cut, flat, mix, pieces, words, workspace
+from .textkit import U64, cut, flat, light, mix, pieces, words, workspace
 from .token_files import opened
 
 END = U64(0x5BD1E9955BD1E995)
@@ -320,7 +320,7 @@ def discounts(seen: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; perplexity of the text."""
-    model = Model(docs.where(~held_out(F.col("doc_id"))))
+    model = Model(light(docs).where(~held_out(F.col("doc_id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

@@ -10,7 +10,7 @@
 4. Components of candidates are brought together with their texts and linked exactly: two sets are linked at a Jaccard
    similarity of 0.8 or more. Inside a group leaders are compared with all members, until every member outside the largest
    linked part has been a leader; pairs inside the part are connected already, so no link can be lost, and no pairs are listed.
-   A component of more than TILE members is dealt into tiles that share HUBS members, and afterwards each member outside the
+   A component of more than TILE members or TILE_SHINGLES shingles is dealt into tiles that share HUBS members, and afterwards each member outside the
    largest part is compared with every tile, in blocks.
 
 Defined results: null and empty texts, and texts without a word, have no shingles and stay alone; a text of one to four words
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import whole_groups
-from .textkit import U64, components, cut, distinct, flat, joined, mix, pieces, shingles, signed, words
+from .textkit import U64, components, cut, distinct, flat, joined, light, mix, pieces, shingles, signed, words
 
 WORDS, SIMILARITY = 5, 0.8
 TABLES, BITS, ADDED, SUBTABLES, CAP, RADIUS = 96, 12, 8, 4, 4096, 34
-TILE, HUBS = 2000, 32
+TILE, TILE_SHINGLES, HUBS = 2000, 1_500_000, 32
 _FLOOR = -(1 << 63)
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 _coins = np.random.default_rng(20240229)
@@ -77,7 +77,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """id, shingle-set identity (k1, k2, size) and SimHash (f1, f2) of each document."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FLOOR)).alias("id"), "text")
+    rows = light(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FLOOR)).alias("id"), "text")
     return rows.mapInArrow(_sketch, "id long, k1 long, k2 long, f1 long, f2 long, size long")
 
 
@@ -219,23 +219,24 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(node, root) of representatives that are linked with another; components of exact links."""
     groups = components(candidates(reps)).withColumnRenamed("node", "id")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    groups = cut(groups.join(sizes, "root"))
+    groups = groups.join(reps.select("id", "size"), "id")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_SHINGLES)).cast("long")
+    groups = cut(groups.join(groups.groupBy("root").agg(F.count("*").alias("members"), tiles.alias("tiles")), "root").drop("size"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FLOOR)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(groups, "id")
-    tiles = F.ceil(F.col("members") / TILE)
+    tiles = F.col("tiles")
     # in a component of more than a tile, members of small hashes stand in all its tiles
     everywhere = F.pmod(F.xxhash64("id", F.lit(3)), F.col("members")) < HUBS
     own = F.array(F.pmod(F.xxhash64("id", F.lit(5)), tiles))
-    if not (groups.agg(F.max("members")).first()[0] or 0) > TILE:
+    if not (groups.agg(F.max("tiles")).first()[0] or 0) > 1:
         return components(_grouped(rows.select("root", F.lit(0).alias("tile"), "id", F.lit(False).alias("lead"), "text")))
     dealt = rows.select("root", "id", "text", F.explode(F.when(everywhere & (tiles > 1), F.sequence(F.lit(0).cast("long"), tiles - 1)).otherwise(own)).alias("tile"), F.lit(False).alias("lead"))
     edges = cut(_grouped(dealt))
     parts = components(edges).select(F.col("node").alias("id"), F.col("root").alias("part"))
-    wide = cut(groups.where(F.col("members") > TILE).join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")))
+    wide = cut(groups.where("tiles > 1").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")))
     counts = wide.groupBy("root", "part").agg(F.count("*").alias("n"))
     main = counts.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    rest = wide.join(main, "root").where("part <> main").select("id", "root", "members")
+    rest = wide.join(main, "root").where("part <> main").select("id", "root", "tiles")
     # each of the rest leads in every block of every tile; a block holds TILE of the rest at most on average
     blocks = rest.groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
     if not blocks.limit(1).count():

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import _LOWER, _WORD, cut, distinct, flat, pieces, words
+from .textkit import _LOWER, _WORD, cut, distinct, flat, light, pieces, words
 
 SAMPLE, WEIGHT, THRESHOLD = 12_000, 0.5, 0.5
 _SIGNS = ~_WORD
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Logistic |
             x = pa.FixedSizeListArray.from_arrays(pa.array(features(batch.column("text")).ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), x], ["doc_id", "y", "x"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample rows of two numbers
+    picked = light(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample rows of two numbers
     rows = sorted(picked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<double>").limit(2 * sample).collect())
     y = np.array([r[1] for r in rows], float)
     if len(rows) < 30 or not 0 < y.sum() < len(y):

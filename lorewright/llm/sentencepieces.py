@@ -22,7 +22,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import pieces
+from .textkit import light, pieces
 
 TABLE_LIMIT = 300_000
 _CHUNK = re.compile("▁*[^▁\n\t]+|▁+|[\n\t]+")
@@ -84,4 +84,4 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, {_FIELDS}" + ", ids binary, decoded string" * payload)
+    return light(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, {_FIELDS}" + ", ids binary, decoded string" * payload)

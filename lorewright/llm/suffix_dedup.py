@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import whole_groups
-from .textkit import _TABLE, U64, cut, flat, mix, pieces, powers, prefix, signed
+from .textkit import _TABLE, U64, cut, flat, light, mix, pieces, powers, prefix, signed
 
 LENGTH, KEY, CROWD = 200, 48, 8192
 LEFT = LENGTH - KEY
@@ -323,7 +323,7 @@ def covered(docs: DataFrame) -> DataFrame:
 def suffix_dedup(docs: DataFrame, payload: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; payload adds kept, the remaining bytes, which may cut a character."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "text")
+    rows = light(docs).select("doc_id", text.alias("text")).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "text")
     runs = covered(rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.join(runs, ["id", "h"], "left").select("doc_id", "text", "runs")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -183,6 +183,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def light(df: DataFrame) -> DataFrame:
+    """df, its session set to hand Python workers a few megabytes at a time: rows here are texts, and ten thousand of them are many."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return df
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b), the root being the component's smallest node.
 

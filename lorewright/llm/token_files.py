@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import pieces, workspace
+from .textkit import light, pieces, workspace
 
 FRAME_IDS = 1 << 17
 TABLE_LIMIT = 500_000
@@ -204,7 +204,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
             path, n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path.rpartition("/")[2]], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = light(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     sorted_rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     manifest = f"{folder}/manifest.parquet"
     sorted_rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long").write.mode("overwrite").parquet(manifest)

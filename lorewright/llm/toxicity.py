@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Isotonic, Trees
-from .textkit import _LOWER, flat, pieces, words
+from .textkit import _LOWER, flat, light, pieces, words
 
 SAMPLE = 12_000
 WINDOW = 6
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Trees
             values = pa.FixedSizeListArray.from_arrays(pa.array(features(batch.column("text")).ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), values], ["doc_id", "toxic", "x"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample rows of two numbers
+    picked = light(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample rows of two numbers
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sorted(picked.mapInArrow(run, f"doc_id {kind}, toxic int, x array<double>").limit(2 * sample).collect())
     y = np.array([r[1] for r in rows], float)
