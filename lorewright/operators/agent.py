@@ -171,7 +171,7 @@ def loops(spark: SparkSession, edges: DataFrame, depth: int = 6) -> DataFrame:
     now, out = settle(links.select(F.array("src").alias("path"), F.col("dst").alias("at"))), []
     for _ in range(depth):
         out.append(now.where(F.col("path")[0] == F.col("at")).select(F.col("path").alias("cycle")))
-        now = settle(now.where((F.col("at") > F.col("path")[0]) & ~F.array_contains("path", F.col("at"))).join(links, F.col("at") == F.col("src")).select(F.array_append("path", "at").alias("path"), F.col("dst").alias("at")))
+        now = settle(now.where((F.col("at") > F.col("path")[0]) & ~F.array_contains("path", F.col("at"))).join(links, F.col("at") == F.col("src")).select(F.array_append("path", F.col("at")).alias("path"), F.col("dst").alias("at")))
         if not now.limit(1).count():
             break
     return reduce(DataFrame.union, out).distinct()

@@ -141,6 +141,8 @@ def parts(node: DataFrame, edge: DataFrame) -> DataFrame:
 
 def rank(node: DataFrame, edge: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """PageRank over directed pairs once each, self-edges kept; what dangling nodes hold goes to all. Sums to 1."""
+    if edge.limit(SMALL + 1).count() <= SMALL:
+        return _alone(node, edge, lambda ids, adj, own: _rank_here(ids, own, damping, rounds, tolerance), "id string, score double", SMALL)
     links = edge.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count("*").alias("d"))
     links = settle(links.join(out, "src").select("src", "dst", "d"))
@@ -161,6 +163,8 @@ def rank(node: DataFrame, edge: DataFrame, damping: float = 0.85, rounds: int =
 
 def eigen(node: DataFrame, edge: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """Eigenvector centrality by power iteration on A + I, the largest entry scaled to 1."""
+    if edge.limit(SMALL + 1).count() <= SMALL:
+        return _alone(node, edge, lambda ids, adj, own: _eigen_here(ids, adj, rounds, tolerance), "id string, score double", SMALL)
     links = settle(neighbours(edge))
     n = node.count()
     now = settle(node.select("id", F.lit(1.0 / max(n, 1) ** 0.5).alias("score")))
@@ -176,6 +180,33 @@ def eigen(node: DataFrame, edge: DataFrame, rounds: int = 100, tolerance: float
     return now.select("id", (F.col("score") / most).alias("score"))
 
 
+def _rank_here(ids: list[str], own: pd.DataFrame, damping: float, rounds: int, tolerance: float) -> pd.DataFrame:
+    """rank of a graph that one task holds."""
+    n, pairs = len(ids), own[["a", "b"]].drop_duplicates().to_numpy(int).reshape(-1, 2)
+    out, now = np.bincount(pairs[:, 0], minlength=n), np.full(n, 1.0 / max(n, 1))
+    for _ in range(rounds if n else 0):
+        came = np.bincount(pairs[:, 1], now[pairs[:, 0]] / out[pairs[:, 0]], n)
+        new = (1 - damping) / n + damping * (came + now[out == 0].sum() / n)
+        moved, now = np.abs(new - now).sum(), new
+        if moved < tolerance:
+            break
+    return pd.DataFrame({"id": ids, "score": now})
+
+
+def _eigen_here(ids: list[str], adj: list[list[int]], rounds: int, tolerance: float) -> pd.DataFrame:
+    """eigen of a graph that one task holds."""
+    n = len(ids)
+    u, v = np.repeat(np.arange(n), [len(a) for a in adj]), np.array([w for a in adj for w in a], int)
+    now = np.full(n, 1.0 / max(n, 1) ** 0.5)
+    for _ in range(rounds if n else 0):
+        new = now + np.bincount(u, now[v], n)
+        new /= np.sqrt((new**2).sum())
+        moved, now = np.sqrt(((new - now) ** 2).sum()), new
+        if moved < tolerance:
+            break
+    return pd.DataFrame({"id": ids, "score": now / now.max() if n else now})
+
+
 class TooLarge(ValueError):
     """A sequential measure was asked of a graph that one task should not hold."""
 

@@ -172,9 +172,11 @@ def settle_claims(claims: DataFrame, rule: str, trust: DataFrame | None = None)
     rows = claims
     if rule == "credible":
         rows = rows.join(trust, "doc", "left").withColumn("w", F.coalesce("weight", F.lit(0.5)))
-    per = rows.groupBy("subject", "prop", "value").agg(F.min("ord").alias("first"), {"vote": F.count("*").cast("double"), "credible": F.sum("w") if rule == "credible" else F.lit(0.0), "newest": F.max(F.unix_micros(F.col("at").cast("timestamp"))).cast("double"), "oldest": -F.min(F.unix_micros(F.col("at").cast("timestamp"))).cast("double"), "sure": F.max("score")}[rule].alias("support"))
-    best = Window.partitionBy("subject", "prop").orderBy(F.desc_nulls_last("support"), "first")
-    return per.withColumn("k", F.row_number().over(best)).where("k = 1").select("subject", "prop", "value", "support")
+    support = {"vote": F.count("*"), "credible": F.round(F.sum("w"), 9) if rule == "credible" else None, "newest": F.max("at"), "oldest": F.min("at"), "sure": F.max("score")}[rule]
+    per = rows.groupBy("subject", "prop", "value").agg(F.min("ord").alias("first"), support.alias("support"))
+    order = F.asc_nulls_last("support") if rule == "oldest" else F.desc_nulls_last("support")
+    best = per.groupBy("subject", "prop", "support").agg(F.min_by("value", "first").alias("value"))
+    return best.withColumn("k", F.row_number().over(Window.partitionBy("subject", "prop").orderBy(order))).where("k = 1").select("subject", "prop", "value", "support")
 
 
 def unique(triples: DataFrame) -> DataFrame:

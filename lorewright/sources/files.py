@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import ipaddress
+import re
 import socket
 from collections.abc import Callable
 from urllib.parse import urlparse
@@ -41,7 +41,8 @@ def folder(spark: SparkSession, path: str, match: str = "*", skip: str | None =
     """All files below a folder whose name or relative path fits match, then not skip."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    fits = lambda pattern: name.rlike(fnmatch.translate(pattern)) | F.col("path").rlike(r"(?s)^.*/" + fnmatch.translate(pattern)[4:])
+    glob_ = lambda p: re.sub(r"\\\*", "[^/]*", re.sub(r"\\\?", "[^/]", re.escape(p)))
+    fits = lambda pattern: F.col("path").rlike("(?s)(^|/)" + glob_(pattern) + "$")
     rows = rows.where(fits(match)).where(F.col("length") >= least)
     rows = rows.where(~fits(skip)) if skip else rows
     rows = rows.where(F.col("length") <= most) if most else rows
