@@ -6,7 +6,7 @@
    SimHashes differ in about 19 of 128 bits, and even pairs that chance sets 27 bits apart meet in a table in 99.6 of 100 cases.
    A bucket of more than CAP members is dealt again by ADDED further coordinates, in SUBTABLES ways. What is still larger is
    not cut: all its members are joined to its smallest one as candidates, which can only add work, never lose a link.
-3. Within a bucket pairs of Hamming distance RADIUS or less are candidates; only a spanning forest of them is emitted.
+3. Within a bucket pairs of Hamming distance RADIUS or less, of sizes that allow the similarity, are candidates; only a spanning forest of them is emitted.
 4. Components of candidates are brought together with their texts and linked exactly: two sets are linked at a Jaccard
    similarity of 0.8 or more. Inside a group leaders are compared with all members, until every member outside the largest
    linked part has been a leader; pairs inside the part are connected already, so no link can be lost, and no pairs are listed.
@@ -31,7 +31,7 @@ from .exact_dedup import whole_groups
 from .textkit import U64, components, cut, distinct, flat, joined, light, mix, pieces, shingles, signed, words
 
 WORDS, SIMILARITY = 5, 0.8
-TABLES, BITS, ADDED, SUBTABLES, CAP, RADIUS = 96, 12, 8, 4, 4096, 34
+TABLES, BITS, ADDED, SUBTABLES, CAP, RADIUS = 96, 12, 8, 4, 4096, 32
 TILE, TILE_SHINGLES, HUBS = 2000, 1_500_000, 32
 _FLOOR = -(1 << 63)
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
@@ -94,7 +94,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = np.stack([batch.column(c).to_numpy() for c in ("f1", "f2")], 1).view(np.uint64)
         for t in range(TABLES):
             keys = t << BITS | _sampled(f, _SAMPLES[t, :BITS])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("id"), batch.column("f1"), batch.column("f2")], ["bucket", "id", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c) for c in ("id", "f1", "f2", "size"))], ["bucket", "id", "f1", "f2", "size"])
 
 
 def _subbuckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,20 +106,23 @@ def _subbuckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 more = _sampled(f[here], _SAMPLES[t, BITS + ADDED * e : BITS + ADDED * (e + 1)])
                 keys = pa.array(((bucket[here] * SUBTABLES + e) << ADDED | more) | 1 << 60)
                 own = batch.take(pa.array(here))
-                yield pa.RecordBatch.from_arrays([keys, own.column("id"), own.column("f1"), own.column("f2")], ["bucket", "id", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([keys, *(own.column(c) for c in ("id", "f1", "f2", "size"))], ["bucket", "id", "f1", "f2", "size"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, ["bucket"]):
         bucket, ids = table.column("bucket").to_numpy(), table.column("id").to_numpy()
         f1, f2 = (table.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2"))
+        size = table.column("size").to_numpy()
         n, label, live, held, step = len(ids), np.arange(len(ids)), np.arange(len(ids)), [], 1
         while True:
             live = live[live + step < n]
             live = live[bucket[live] == bucket[live + step]]
             if not len(live):
                 break
-            near = live[np.bitwise_count(f1[live] ^ f1[live + step]) + np.bitwise_count(f2[live] ^ f2[live + step]) <= RADIUS]
+            a, b = size[live], size[live + step]
+            near = live[10 * np.minimum(a, b) >= 8 * np.maximum(a, b)]  # sets whose sizes differ more cannot be that similar
+            near = near[np.bitwise_count(f1[near] ^ f1[near + step]) + np.bitwise_count(f2[near] ^ f2[near + step]) <= RADIUS]
             near = near[label[near] != label[near + step]]
             held.append((near, near + step))
             if sum(len(a) for a, _ in held) > 200_000:
@@ -135,8 +138,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(reps: DataFrame) -> DataFrame:
     """Edges (a, b) whose components hold together every pair of reps that meets in a table within RADIUS."""
-    kind = "bucket long, id long, f1 long, f2 long"
-    rows = reps.select("id", "f1", "f2").mapInArrow(_buckets, kind)
+    kind = "bucket long, id long, f1 long, f2 long, size long"
+    rows = reps.select("id", "f1", "f2", "size").mapInArrow(_buckets, kind)
     hot = cut(rows.groupBy("bucket").count().where(F.col("count") > CAP).select("bucket"))
     edges = []
     if hot.limit(1).count():
@@ -223,7 +226,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_SHINGLES)).cast("long")
     groups = cut(groups.join(groups.groupBy("root").agg(F.count("*").alias("members"), tiles.alias("tiles")), "root").drop("size"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FLOOR)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(groups, "id")
+    rows = cut(texts.join(groups, "id"))  # the texts of candidates, which are dealt more than once
     tiles = F.col("tiles")
     # in a component of more than a tile, members of small hashes stand in all its tiles
     everywhere = F.pmod(F.xxhash64("id", F.lit(3)), F.col("members")) < HUBS
@@ -244,7 +247,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     t, k = F.col("tile").cast("long"), F.col("block")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     follow = rows.join(blocks, "root").select("root", "id", "text", own[0].alias("tile"), "blocks", every)
-    lead = texts.join(rest, "id").join(blocks, "root").select("root", "id", "text", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).alias("block"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"))
+    lead = rows.join(rest.select("id"), "id", "left_semi").join(blocks, "root").select("root", "id", "text", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).alias("block"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"))
     key = (t * F.col("blocks") + k).alias("tile")
     more = _grouped(follow.select("root", key, "id", F.lit(False).alias("lead"), "text").union(lead.select("root", key, "id", F.lit(True).alias("lead"), "text")))
     return components(edges.union(more))
