@@ -14,7 +14,7 @@ from ..functions import parse as P
 from ..functions import split as S
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import agent, extract, graph, ontology, reason, resolve, store
+from ..operators import agent, extract, graph, ontology, reason, resolve, retrieval, store
 from ..sources import export
 from ..streaming import memory
 
@@ -791,3 +791,23 @@ def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
     n = docs.agg(F.count("*").alias("n"))
     x = f.join(df, "term").crossJoin(F.broadcast(n)).withColumn("v", F.col("tf") * F.log(F.col("n") / F.col("df")))
     return x.withColumn("k", F.expr("row_number() over (partition by doc_id order by round(v, 9) desc, term)")).where("k <= 3").select("doc_id", "term", F.round("v", 6).alias("weight"))
+
+
+@query("WITH a AS (SELECT item_id AS ask, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark WHERE item_id < 20), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents), x AS (SELECT ask, doc_id, len(list_intersect(a.t, d.t)) AS shared FROM a, d), r AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY shared DESC, doc_id) AS rank FROM x WHERE shared > 0) SELECT ask, doc_id, shared, rank FROM r WHERE rank <= 5")
+def retrieval_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by the number of a question's terms that they have, through a join on the terms."""
+    each = lambda df, *key: df.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))).alias("term"))
+    asks = each(_t(spark, d, "benchmark").where("item_id < 20"), F.col("item_id").alias("ask"))
+    found = each(_t(spark, d, "documents"), "doc_id").join(asks, "term").groupBy("ask", "doc_id").agg(F.count("*").alias("shared"))
+    return found.withColumn("rank", F.expr("row_number() over (partition by ask order by shared desc, doc_id)")).where("rank <= 5")
+
+
+@query()
+def retrieval_answers(spark: SparkSession, d: str) -> DataFrame:
+    asks = _t(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("ask"), "text")
+    return retrieval.answers(_t(spark, d, "documents"), asks, 5).select("ask", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def term_stems(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "benchmark").select("item_id", retrieval.stems(retrieval.terms(F.col("text"))).alias("stems"))

@@ -6,7 +6,7 @@ that sort first and last.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
@@ -114,3 +114,53 @@ def write(triples: DataFrame, name: str, path: str) -> None:
     if name not in FORMATS:
         raise KeyError(f"no format {name}")
     FORMATS[name](triples).repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("line").write.text(path)
+
+
+class DrainedError(ValueError):
+    """A source that holds no line."""
+
+
+def _named(c: Column) -> Column:
+    """A term without ROOT and its escapes; anything else as it is."""
+    own = F.regexp_extract(c, r"^<(.*)>$", 1)
+    return F.when(own.startswith(ROOT), F.url_decode(F.replace(F.substring(own, len(ROOT) + 1, 1 << 20), F.lit("_"), F.lit("%20")))).otherwise(own)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.select(F.monotonically_increasing_id().alias("ord"), "s", "p", "o", "score", "doc")
+
+
+def read_nt(spark: SparkSession, path: str) -> DataFrame:
+    """N-Triples whose object is an IRI or a plain literal; comments and blank lines are passed over."""
+    lines = spark.read.text(path).where(r"trim(value) <> '' and value not like '#%'")
+    part = lambda k: F.regexp_extract("value", r'^\s*(<[^>]*>)\s+(<[^>]*>)\s+(<[^>]*>|"(?:[^"\\]|\\.)*")\S*\s*\.\s*$', k)
+    literal = F.regexp_extract(part(3), r'^"(.*)"$', 1)
+    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\\\", "\\")):
+        literal = F.replace(literal, F.lit(a), F.lit(b))
+    found = lines.where(part(1) != "").select(_named(part(1)).alias("s"), _named(part(2)).alias("p"), F.when(part(3).startswith("<"), _named(part(3))).otherwise(literal).alias("o"))
+    return _numbered(found.withColumns({"score": F.lit(0.0), "doc": F.lit("")}))
+
+
+def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema("subject string, predicate string, object string, score double, doc string").json(path)
+    return _numbered(rows.toDF("s", "p", "o", "score", "doc"))
+
+
+def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Columns by the names in the header, in any order."""
+    rows = spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"')
+    own = lambda n: F.coalesce(F.col(n), F.lit("")) if n in rows.columns else F.lit("")
+    return _numbered(rows.select(own("subject").alias("s"), own("predicate").alias("p"), own("object").alias("o"), F.coalesce(F.expr("try_cast(score as double)") if "score" in rows.columns else F.lit(0.0), F.lit(0.0)).alias("score"), own("doc").alias("doc")))
+
+
+READERS = {"nt": read_nt, "ndjson": read_ndjson, "csv": read_table, "tsv": lambda spark, path: read_table(spark, path, "\t"), "parquet": lambda spark, path: spark.read.parquet(path)}
+
+
+def read(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """Triples back from a format; formats that are only written raise KeyError, empty sources DrainedError."""
+    if name not in READERS:
+        raise KeyError(f"{name} is not read")
+    rows = READERS[name](spark, path)
+    if not rows.limit(1).count():
+        raise DrainedError(path)
+    return rows

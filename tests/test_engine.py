@@ -290,3 +290,36 @@ def test_blocked_joins_are_equi_joins(spark):
     e = spark.createDataFrame([(0, "Apple Inc"), (1, "Apple")], "ord long, name string")
     plan = resolve.candidates(e)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("name", ["nt", "ndjson", "csv", "tsv", "parquet"])
+def test_round_trips(spark, tmp_path, name):
+    t = made(spark, ("Ada Byron", "knows", "Bob, Jr", 0.5, "d"), ("x#1", "p", 'say "hi"', 0.0, ""))
+    export.write(t, name, str(tmp_path / "out"))
+    got = {(r.s, r.p, r.o) for r in export.read(spark, name, str(tmp_path / "out")).collect()}
+    assert got == {("Ada Byron", "knows", "Bob, Jr"), ("x#1", "p", 'say "hi"')}
+    if name == "nt":
+        (tmp_path / "none").write_text("# nothing\n")
+        with pytest.raises(export.DrainedError):
+            export.read(spark, "nt", str(tmp_path / "none"))
+        with pytest.raises(KeyError):
+            export.read(spark, "dot", str(tmp_path / "none"))
+
+
+def test_stems():
+    from lorewright.operators import retrieval
+
+    known = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "triplicate": "triplic", "hopefulness": "hope", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control"}
+    assert {w: retrieval.stem(w) for w in known} == known
+
+
+def test_retrieval(spark):
+    from lorewright.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "red apple pie"), (2, "green apple"), (3, "blue sky")], "doc_id long, text string")
+    got = retrieval.answers(docs, spark.createDataFrame([("q", "Apple green")], "ask string, text string"), 2).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [2, 1]
+    f1 = spark.range(1).select(retrieval.overlap_f1(F.lit("a b b"), F.lit("b b c")).alias("x")).first().x
+    assert f1 == pytest.approx(2 / 3)
+    assert retrieval.bootstrap([1.0, 1.0, 1.0]) == (1.0, 1.0) and retrieval.bootstrap([0.0, 1.0]) == (0.0, 1.0)
+    assert spark.createDataFrame([(["running", "cats"],)], "w array<string>").select(retrieval.stems("w").alias("s")).first().s == ["run", "cat"]
