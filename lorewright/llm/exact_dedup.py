@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import cut, flat, light
 
-TILE_BYTES = 4 << 20
+TILE_BYTES = 512 << 10
 _UPPER, _UNDER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FLOOR = -(1 << 63)
 
@@ -95,10 +95,14 @@ def _name_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in ("h", "n", "c", "id", "sha")), pa.array(root), body], ["h", "n", "c", "id", "sha", "root", "body"])
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
+def _share() -> Column:
+    """Documents of n bytes in a tile: by its size, but eight, or two of over a megabyte, at least, so that every round has fewer."""
+    return F.greatest(F.when(F.col("n") > 1 << 20, 2).otherwise(8), F.expr(f"{TILE_BYTES} div greatest(n, 1)"))
+
+
+def _tiles(rows: DataFrame, turn: int = 7) -> DataFrame:
     """Rows named within tiles; c is the number of rows under a pair."""
-    share = F.greatest(F.lit(2), F.expr(f"{TILE_BYTES} div greatest(n, 1)"))
-    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("c") / share)).cast("long"))
+    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("c") / _share())).cast("long"))
     dealt = dealt.select("h", "n", "tile", "c", "id", "sha", "body").repartition("h", "n", "tile").sortWithinPartitions("h", "n", "tile")
     return dealt.mapInArrow(_name_tiles, "h long, n long, c long, id long, sha string, root long, body binary")
 
@@ -113,16 +117,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alone = keyed.join(many, ["h", "n"], "left_anti").select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"), "sha")
     texts = rows.select("id", F.xxhash64("t").alias("h"), F.octet_length("t").cast("long").alias("n"), F.sha2("t", 256).alias("sha"), F.encode("t", "utf-8").alias("body"))
     named = _tiles(texts.join(many, ["h", "n"]))
-    most = many.agg(F.max(F.ceil(F.col("c") / F.greatest(F.lit(2), F.expr(f"{TILE_BYTES} div greatest(n, 1)"))))).first()[0] or 0
+    most = many.agg(F.max(F.ceil(F.col("c") / _share()))).first()[0] or 0
     named = cut(named)
     links = named.select("h", "n", "id", "sha", "root")
-    while most > 1:
+    turn = 7
+    while most > 1:  # the last round had a group in more than one tile
+        turn += 1
         heads = named.where("body is not null").drop("root")
-        crowd = heads.groupBy("h", "n").agg(F.count("*").alias("c"))
-        named = cut(_tiles(heads.drop("c").join(crowd, ["h", "n"])))
+        crowd = cut(heads.groupBy("h", "n").agg(F.count("*").alias("c")))
+        most = crowd.agg(F.max(F.ceil(F.col("c") / _share()))).first()[0]
+        named = cut(_tiles(heads.drop("c").join(crowd, ["h", "n"]), turn))
         moved = named.select("h", "n", F.col("id").alias("root"), F.col("root").alias("top"))
         links = links.join(moved.distinct(), ["h", "n", "root"]).select("h", "n", "id", "sha", F.col("top").alias("root"))
-        most = most // 2 if named.where("body is not null").groupBy("h", "n").count().where("count > 1").limit(1).count() else 0
     sizes = links.groupBy("h", "n", "root").agg(F.count("*").alias("size"), F.max("id").alias("keep"))
     found = links.join(sizes, ["h", "n", "root"]).select("id", "keep", "size", "sha")
     real = lambda c: F.when(F.col(c) != _FLOOR, F.col(c))

@@ -113,6 +113,15 @@ def test_exact_dedup(spark, monkeypatch, tile):
     assert sorted((r.text or "").translate(brute.LOWER) for r in kept) == sorted({(t or "").translate(brute.LOWER) for _, t in rows})
 
 
+def test_exact_dedup_in_many_rounds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "_share", lambda: F.lit(2))
+    rows = [(k, "one text") for k in range(11)] + [(k, "OTHER text") for k in range(20, 23)]
+    got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
+    assert sorted(tuple(r) for r in got) == exact_expected(rows)
+
+
 def test_names_are_free_of_collisions():
     text = [b"", b"\0", b"\0\0", b"a" * 8, b"a" * 8 + b"\0", b"ab" * 50, b"ab" * 50, b"ba" * 50]
     got = exact_dedup.names(*textkit.flat(pa.array(text, pa.large_binary()).view(pa.large_string()))).tolist()
