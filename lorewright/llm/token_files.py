@@ -108,8 +108,9 @@ def _merger(model: dict) -> tuple[object, int] | None:
     byte = {chr(b): b for b in signs} | {chr(256 + k): b for k, b in enumerate(rest)}
     vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     made = [vocabulary.get(a + b, -1) for a, b in merges]
-    ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if all(c in byte for c in t) and i <= max(made)}
-    if made != sorted(made) or len({*made}) != len(made) or len(ranks) != len(made) + 256 or min(made) != 256:
+    last = max(made, default=-1)
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if i <= last and all(c in byte for c in t)}
+    if not made or made != sorted(made) or len({*made}) != len(made) or len(ranks) != len(made) + 256 or min(made) != 256:
         return None
     return tiktoken.Encoding("merges", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks[b"\n"]
 
