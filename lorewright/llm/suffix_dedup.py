@@ -13,8 +13,8 @@ in seventy-seven is an anchor.
    steps for 200 bytes. Neighbours' extensions are then checked byte by byte; should a hash have collided, that batch is sorted
    by its bytes. A window with o bytes left of the anchor repeats if another context shares its run of common right
    extensions of 200 - o and its run of common left extensions of o. The outermost such windows bound what is removed.
-4. An anchor of more than CROWD contexts is not brought together: its windows are hashed to 128 bits and counted
-   natively by anchor, place of the anchor in the window, and hash.
+4. An anchor of more than CROWD contexts is not brought together: its windows, each with the anchor and its place in
+   them, are hashed to 128 bits and counted natively.
 
 Defined results: null counts as empty; texts under 200 bytes are left as they are; a repeated row repeats all its windows; a
 null id is a document like others; an empty table gives no rows; other columns are never read.
@@ -22,6 +22,7 @@ null id is a document like others; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import whole_groups
 from .textkit import _TABLE, U64, cut, flat, light, mix, pieces, powers, prefix, signed
 
-LENGTH, KEY, CROWD = 200, 48, 8192
+LENGTH, KEY, CROWD = 200, 48, 16384
 LEFT = LENGTH - KEY
 _OTHER = mix(_TABLE ^ U64(0x94D049BB133111EB))
 
@@ -185,7 +186,7 @@ class Suffixes:
         """Whether neighbours have just the extensions and the order that their hashes gave."""
         at = np.flatnonzero(shared >= 0)
         a, b, n = order[at], order[at - 1], shared[at]
-        for part in np.array_split(np.arange(len(at)), max(1, int(n.sum() // 4_000_000))):
+        for part in np.array_split(np.arange(len(at)), max(1, int(n.sum() // 400_000))):
             inside = np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
             if (self.data[np.repeat(self.start[a[part]], n[part]) + inside] != self.data[np.repeat(self.start[b[part]], n[part]) + inside]).any():
                 return False
@@ -258,10 +259,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.repeat(np.arange(len(whole)), count)
             within = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
             start = offsets[rows] + within
-            keys = []
+            keys, anchor = [], part.column("ah").to_numpy().view(np.uint64)
             for table in (_TABLE, _OTHER):
                 sums = prefix(table[data])
-                keys.append(mix((sums[start + LENGTH] - sums[start]) * powers(len(data) + 1)[1][start]))
+                own = mix(np.repeat(anchor, count) + (lo[rows] - within).astype(np.uint64))
+                keys.append(mix((sums[start + LENGTH] - sums[start]) * powers(len(data) + 1)[1][start] ^ own))
             at = pa.array(rows)
             yield pa.RecordBatch.from_arrays([part.column("ah").take(at), part.column("ch").take(at), pa.array((lo[rows] - within).astype(np.int32)), *(pa.array(signed(k)) for k in keys)], ["ah", "ch", "o", "w1", "w2"])
 
@@ -287,6 +289,12 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([x[3] for x in out], pa.string()), pa.array([x[4] for x in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _release(docs: DataFrame) -> None:
+    """Lets the driver drop what it no longer holds, and with it the shuffle files of plans whose rows are stored."""
+    gc.collect()
+    docs.sparkSession._jvm.System.gc()
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """(id, h, runs): the byte runs [b, e) that repeated windows cover, for each document that has any; runs may overlap."""
     rows = docs.select("id", "h", "text").where(F.octet_length("text") >= LENGTH)
@@ -294,6 +302,8 @@ def covered(docs: DataFrame) -> DataFrame:
     found = rows.mapInArrow(_occurrences, "id long, h long, ah long, ch long, pos long, lo long, hi long, more boolean")
     settled = found.where("ah is null")
     seen = cut(found.where("ah is not null").join(twice, "ah").union(settled.select("ah", *[c for c in found.columns if c != "ah"])))
+    del found, twice, settled
+    _release(docs)
     inside = seen.where("ah is null").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("hi")).alias("e"))
     seen = seen.where("ah is not null")
     contexts = cut(seen.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.max("more").alias("more"), F.min(F.struct("id", "h", "pos", "lo", "hi")).alias("at")))
@@ -301,20 +311,24 @@ def covered(docs: DataFrame) -> DataFrame:
     need = contexts.join(several, "ah").select("ah", "ch", "d", "at.*")
     wanted = need.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "lo", "hi", "ah", "ch")).alias("wanted"))  # at most one in a byte of the document
     fetched = cut(rows.join(wanted, ["id", "h"]).select("text", "wanted").mapInArrow(_contexts, "ah long, ch long, left binary, right binary"))
+    _release(docs)
     crowded = cut(several.where(F.col("d") > CROWD).select("ah"))
     calm, parts = fetched, []
     if crowded.limit(1).count():
         calm = fetched.join(crowded, "ah", "left_anti")
         windows = fetched.join(crowded, "ah").mapInArrow(_windows, "ah long, ch long, o int, w1 long, w2 long")
-        again = windows.groupBy("ah", "o", "w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-        own = windows.join(again, ["ah", "o", "w1", "w2"]).groupBy("ah", "ch").agg(F.max("o").cast("long").alias("l"), (F.lit(LENGTH) - F.min("o")).cast("long").alias("r"))
+        again = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+        own = windows.join(again, ["w1", "w2"]).groupBy("ah", "ch").agg(F.max("o").cast("long").alias("l"), (F.lit(LENGTH) - F.min("o")).cast("long").alias("r"))
         parts.append(own)
     parts.append(calm.repartition("ah").sortWithinPartitions("ah").mapInArrow(_suffix_sort, "ah long, ch long, l long, r long"))
     parts.append(contexts.where("n > 1 or more").select("ah", "ch", F.lit(LENGTH).cast("long").alias("l"), F.lit(LENGTH).cast("long").alias("r")))
     settled = parts[0]
     for p in parts[1:]:
         settled = settled.union(p)
-    reach = settled.groupBy("ah", "ch").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    reach = cut(settled.groupBy("ah", "ch").agg(F.max("l").alias("l"), F.max("r").alias("r")))
+    # texts and contexts were dealt for the rows just stored; once the driver has let go of them, their shuffle files go before texts are dealt again
+    del settled, parts, calm, fetched, need, wanted
+    _release(docs)
     l, r = F.least("l", "lo"), F.least("r", "hi")
     outside = seen.join(reach, ["ah", "ch"]).where(l + r >= LENGTH).select("id", "h", (F.col("pos") - l).alias("b"), (F.col("pos") + r).alias("e"))
     return inside.where(F.col("e") - F.col("b") >= LENGTH).union(outside).groupBy("id", "h").agg(F.collect_list(F.struct("b", "e")).alias("runs"))
