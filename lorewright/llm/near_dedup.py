@@ -4,8 +4,10 @@
    one shingle set are one class of copies; a class goes on as one representative and is never expanded into pairs.
 2. TABLES tables each sample BITS random coordinates of the SimHash and group representatives by them. At similarity 0.8 two
    SimHashes differ in about 19 of 128 bits, and even pairs that chance sets 27 bits apart meet in a table in 99.6 of 100 cases.
-   A bucket of more than CAP members is dealt again by ADDED further coordinates, in SUBTABLES ways. What is still larger is
-   not cut: all its members are joined to its smallest one as candidates, which can only add work, never lose a link.
+   A bucket of more than CAP members is hot. It is dealt by ADDED further coordinates, in SUBTABLES ways, to find crowds: where
+   more than CAP still agree, all are joined to the smallest one as candidates, which can only add work. Members of the bucket's
+   largest part of such joins are connected already; every other member is compared with all members, in blocks against blocks,
+   so a pair that meets in a hot bucket is found as surely as one that meets in a small one.
 3. Within a bucket pairs of Hamming distance RADIUS or less, of sizes that allow the similarity, are candidates; only a spanning forest of them is emitted.
 4. Components of candidates are brought together with their texts and linked exactly: two sets are linked at a Jaccard
    similarity of 0.8 or more. Inside a group leaders are compared with all members, until every member outside the largest
@@ -136,6 +138,53 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[label[edge]]), pa.array(ids[edge])], ["a", "b"])
 
 
+def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _near for cells (x, y) of a hot bucket: members of block x against members of block y."""
+    for table in whole_groups(batches, ["bucket", "x", "y"]):
+        bucket, x, y, block, ids, size, f1, f2 = (table.column(c).to_numpy() for c in ("bucket", "x", "y", "block", "id", "size", "f1", "f2"))
+        n, f1, f2 = len(ids), f1.view(np.uint64), f2.view(np.uint64)
+        new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        label, held, many = np.arange(n), [], 0
+        for lo, hi in zip(new, [*new[1:], n]):
+            left, right = lo + np.flatnonzero(block[lo:hi] == x[lo]), lo + np.flatnonzero(block[lo:hi] == y[lo])
+            g1, g2, sizes = f1[right], f2[right], size[right]
+            for k in left:
+                near = np.flatnonzero(np.bitwise_count(f1[k] ^ g1) + np.bitwise_count(f2[k] ^ g2) <= RADIUS)
+                near = near[10 * np.minimum(size[k], sizes[near]) >= 8 * np.maximum(size[k], sizes[near])]
+                near = right[near]
+                near = near[label[near] != label[k]]
+                if len(near):
+                    held.append((np.full(len(near), k), near))
+                    many += len(near)
+                if many > 200_000:
+                    held.append((np.arange(n), label))
+                    label, held, many = joined(n, *(np.concatenate(e) for e in zip(*held))), [], 0
+        held.append((np.arange(n), label))
+        label = joined(n, *(np.concatenate(e) for e in zip(*held)))
+        edge = np.flatnonzero(label != np.arange(n))
+        if len(edge):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[label[edge]]), pa.array(ids[edge])], ["a", "b"])
+
+
+def _hot_edges(large: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """Edges among the members (bucket, id, f1, f2, size) of hot buckets, given the candidates that join crowds."""
+    if stars is None:
+        own = large.withColumns({"part": F.col("id"), "main": F.lit(None).cast("long")})
+    else:
+        own = large.join(components(stars).select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        most = own.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+        own = own.join(most, "bucket")
+    own = cut(own.select("bucket", "id", "f1", "f2", "size", (~F.col("part").eqNullSafe(F.col("main"))).alias("rest")))
+    blocks = lambda of: F.ceil(F.sum(F.when(of, 1).otherwise(0)) / CAP).cast("long")
+    own = own.join(own.groupBy("bucket").agg(blocks(F.col("rest")).alias("rests"), blocks(~F.col("rest")).alias("mains")).where("rests > 0"), "bucket")
+    # blocks of the rest come first; a block of the largest part meets only those, a block of the rest meets all
+    own = own.withColumn("block", F.when(F.col("rest"), F.pmod(F.xxhash64("id", F.lit(7)), "rests")).otherwise(F.col("rests") + F.pmod(F.xxhash64("id", F.lit(7)), "mains")))
+    last = F.when(F.col("rest"), F.col("rests") + F.col("mains")).otherwise(F.col("rests")) - 1
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    met = met.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "f1", "f2", "size")
+    return met.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(_near_blocks, "a long, b long")
+
+
 def candidates(reps: DataFrame) -> DataFrame:
     """Edges (a, b) whose components hold together every pair of reps that meets in a table within RADIUS."""
     kind = "bucket long, id long, f1 long, f2 long, size long"
@@ -143,10 +192,15 @@ def candidates(reps: DataFrame) -> DataFrame:
     hot = cut(rows.groupBy("bucket").count().where(F.col("count") > CAP).select("bucket"))
     edges = []
     if hot.limit(1).count():
-        large = cut(rows.join(hot, "bucket").mapInArrow(_subbuckets, kind))
-        crowded = large.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("a")).where(F.col("n") > CAP)
-        edges.append(large.join(crowded, "bucket").select("a", F.col("id").alias("b")))
-        rows = rows.join(hot, "bucket", "left_anti").union(large.join(crowded.select("bucket"), "bucket", "left_anti"))
+        large = cut(rows.join(hot, "bucket"))
+        parts = large.mapInArrow(_subbuckets, kind)
+        crowded = cut(parts.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("a")).where(F.col("n") > CAP))
+        stars = None
+        if crowded.limit(1).count():
+            stars = cut(parts.join(crowded, "bucket").select("a", F.col("id").alias("b")).where("a <> b").distinct())
+            edges.append(stars)
+        edges.append(_hot_edges(large, stars))
+        rows = rows.join(hot, "bucket", "left_anti")
     edges.append(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_near, "a long, b long"))
     out = edges[0]
     for e in edges[1:]:

@@ -139,6 +139,32 @@ def test_near_dedup(spark, monkeypatch, small):
     assert sum(got[d] != want[d] for d in want) == 0
 
 
+@pytest.mark.parametrize("cap", [1, 2, 20])
+def test_near_dedup_hot_buckets(spark, monkeypatch, cap):
+    """Every pair that meets in a bucket stays in one component, whether the bucket is hot or crowded or not."""
+    r = np.random.default_rng(5)
+    f = r.integers(0, 1 << 64, (500, 2), dtype=np.uint64)
+
+    def flipped(rows, bits):
+        out = rows.copy()
+        for row in out:
+            for place in r.permutation(128)[:bits]:
+                row[place // 64] ^= np.uint64(1 << int(place % 64))
+        return out
+
+    f = np.concatenate([f, flipped(f, 28), flipped(f[:1].repeat(60, 0), 6), flipped(f[:1].repeat(40, 0), 27)])
+    reps = [(k, *(int(x) for x in f[k].view(np.int64)), 100) for k in range(len(f))]
+    monkeypatch.setattr(near_dedup, "CAP", cap)
+    got = {e.node: e.root for e in textkit.components(near_dedup.candidates(spark.createDataFrame(reps, "id long, f1 long, f2 long, size long"))).collect()}
+    near = np.bitwise_count(f[:, None] ^ f[None]).sum(2) <= near_dedup.RADIUS
+    met = np.zeros_like(near)
+    for t in range(near_dedup.TABLES):
+        key = near_dedup._sampled(f, near_dedup._SAMPLES[t, : near_dedup.BITS])
+        met |= key[:, None] == key[None]
+    a, b = np.nonzero(near & met & ~np.eye(len(f), dtype=bool))
+    assert len(a) > 100 and all(got.get(int(x), int(x)) == got.get(int(y), int(y)) for x, y in zip(a, b))
+
+
 def test_near_dedup_hard_rows(spark):
     got = near_dedup.near_dedup(frame(spark, HARD)).collect()
     assert len(got) == len(HARD)
