@@ -53,7 +53,7 @@ UNION ALL SELECT n_nationkey * 4 + 1, n_name, 'in_region', r_name, 0.8, 'nation'
 UNION ALL SELECT s_suppkey * 4 + 2, s_name, 'in_nation', n_name, 0.7, 'supplier' FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
 _EDGE = f"WITH t AS ({_TRIPLES}), e AS (SELECT lower(s) AS src, lower(p) AS label_key, lower(o) AS dst, count(*) AS cnt, max(score) AS score FROM t GROUP BY 1, 2, 3), l AS (SELECT DISTINCT src AS u, dst AS v FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), n AS (SELECT DISTINCT u AS id FROM l)"
-# without customers: the core, which fits a task
+# without customers: the core, for the SQL of graph_bridges and graph_modularity only
 _CORE = _EDGE.replace("FROM customer JOIN nation ON c_nationkey = n_nationkey", "FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE false")
 
 
@@ -128,7 +128,7 @@ def graph_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_eigen(spark: SparkSession, d: str) -> DataFrame:
-    return graph.eigen(*_graph(spark, d, core=True)).select("id", F.round("score", 4).alias("score"))
+    return graph.eigen(*_graph(spark, d)).select("id", F.round("score", 4).alias("score"))
 
 
 @query(f"{_CORE}, d AS (SELECT u AS id, count(*) AS k FROM l GROUP BY u) SELECT e.src, e.dst, e.label_key FROM e")
@@ -139,17 +139,17 @@ def graph_bridges(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_close(spark: SparkSession, d: str) -> DataFrame:
-    return graph.close(*_graph(spark, d, core=True)).select("id", F.round("score", 8).alias("score"))
+    return graph.close(*_graph(spark, d)).select("id", F.round("score", 8).alias("score"))
 
 
 @query()
 def graph_between(spark: SparkSession, d: str) -> DataFrame:
-    return graph.between(*_graph(spark, d, core=True)).select("id", F.round("score", 8).alias("score"))
+    return graph.between(*_graph(spark, d)).select("id", F.round("score", 8).alias("score"))
 
 
 @query()
 def graph_groups(spark: SparkSession, d: str) -> DataFrame:
-    return graph.groups(*_graph(spark, d, core=True))
+    return graph.groups(*_graph(spark, d))
 
 
 @query(f"{_CORE}, c AS (SELECT id, CASE WHEN id LIKE 'nation%' THEN 'n' WHEN id LIKE 'supplier%' THEN 's' ELSE 'r' END AS g FROM n), x AS (SELECT a.g AS gu, b.g AS gv FROM l JOIN c a ON a.id = u JOIN c b ON b.id = v), m AS (SELECT count(*) AS m2 FROM x) SELECT round(sum(i / m2 - (t / m2) * (t / m2)), 6) AS modularity FROM (SELECT gu, count(*) AS t, sum(CASE WHEN gu = gv THEN 1 ELSE 0 END) AS i FROM x GROUP BY gu), m")
@@ -170,9 +170,23 @@ def graph_merge(spark: SparkSession, d: str) -> DataFrame:
     return graph.merge(node, edge, node.where("id like 'nation%'").select("id", F.lit("nations").alias("target")))[1].select("src", "label_key", "dst", "cnt")
 
 
+@query(f"{_EDGE} SELECT e.src, e.dst, e.label_key FROM e")
+def graph_bridges_all(spark: SparkSession, d: str) -> DataFrame:
+    """graph_bridges over the whole graph, customers too; it is a forest, so every link is a bridge."""
+    return graph.bridges(*_graph(spark, d))
+
+
+@query(f"{_EDGE}, c AS (SELECT id, CASE WHEN id LIKE 'nation%' THEN 'n' WHEN id LIKE 'supplier%' THEN 's' WHEN id LIKE 'customer%' THEN 'c' ELSE 'r' END AS g FROM n), x AS (SELECT a.g AS gu, b.g AS gv FROM l JOIN c a ON a.id = u JOIN c b ON b.id = v), m AS (SELECT count(*) AS m2 FROM x) SELECT round(sum(i / m2 - (t / m2) * (t / m2)), 6) AS modularity FROM (SELECT gu, count(*) AS t, sum(CASE WHEN gu = gv THEN 1 ELSE 0 END) AS i FROM x GROUP BY gu), m")
+def graph_modularity_all(spark: SparkSession, d: str) -> DataFrame:
+    """graph_modularity over the whole graph, customers as a group of their own."""
+    node, edge = _graph(spark, d)
+    kind = F.when(F.col("id").like("nation%"), "n").when(F.col("id").like("supplier%"), "s").when(F.col("id").like("customer%"), "c").otherwise("r")
+    return graph.modularity(edge, node.select("id", kind.alias("community")))
+
+
 @query()
 def graph_edge_ids(spark: SparkSession, d: str) -> DataFrame:
-    return graph.with_ids(_graph(spark, d, core=True)[1]).select("src", "label_key", "dst", "id")
+    return graph.with_ids(_graph(spark, d)[1]).select("src", "label_key", "dst", "id")
 
 
 # ---------------------------------------------------------------- patterns, filters, vectors

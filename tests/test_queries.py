@@ -53,3 +53,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["graph_eigen", "graph_close", "graph_between", "graph_groups", "graph_edge_ids"])
+def test_measures_see_customers(spark, name):
+    out = plans.queries()[name](spark, SF)
+    column = "src" if name == "graph_edge_ids" else "id"
+    assert out.where(out[column].like("customer%")).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
