@@ -5,7 +5,9 @@ punctuation marks of its leaves are added up and divided by its number of leaves
 ratios are smoothed over the neighbours in page order, the smoothed text and punctuation ratios are fused by product, and a
 threshold at a share of the mean tells content paths from the rest. Paths under scripts, styles, forms, navigation, headers,
 footers, asides, or under elements whose class, id or role names an advert, menu, notice, sidebar or comments are out before
-that. Within the selected container every block is kept, short ones too: the threshold chooses the container, not sentences.
+that. The container is the nearest element that spans all content blocks; where an article or main is around it, the outermost
+such. Within it every block is kept, short ones and links too: the threshold chooses the container, not sentences. An article
+or main elsewhere on the page is no reason to leave content blocks out.
 
 Blocks are maximal runs of text without a block element's tag between; white space inside becomes one space, character
 references are decoded once, and blocks are joined by two line feeds in page order.
@@ -17,6 +19,7 @@ in the middle is read as if all elements were closed; nothing is capped; rows ke
 from __future__ import annotations
 
 import html
+import os.path
 import re
 from collections.abc import Iterator
 
@@ -38,6 +41,7 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 _INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 _WRAPS = {"div", "section", "td", "body", "html", "center", "blockquote", "dd"}
+_MARKED = {"article", "main"}
 _MARK = re.compile(r"[.,;:!?…。、，！？؟]")
 THRESHOLD = 0.5
 
@@ -141,9 +145,6 @@ def extract(page: str) -> str:
     rows = [(path, numbers, t, linked) for path, numbers, raw, linked in blocks if (t := _squeezed("".join(raw)))]
     if not rows:
         return ""
-    for inside in ("article", "main"):  # the page says itself where its content is
-        if any(inside in p for p, *_ in rows):
-            return "\n\n".join(t for p, _, t, _ in rows if inside in p)
     ratio: dict[tuple[str, ...], list[float]] = {}
     for path, _, t, linked in rows:
         r = ratio.setdefault(path, [0, 0, 0])
@@ -156,15 +157,14 @@ def extract(page: str) -> str:
     level = THRESHOLD * sum(fused) / len(fused)
     # text that stands in a division itself has it as its container, a paragraph or item the element around it
     around = [numbers if not path or path[-1] in _WRAPS else numbers[:-1] for path, numbers, *_ in rows]
-    containers: dict[tuple[int, ...], int] = {}
-    for c, f, (_, _, t, linked) in zip(around, fused, rows):
-        if f >= level and len(t) > 2 * linked:
-            containers[c] = containers.get(c, 0) + len(t)
-    most = max(containers.values(), default=0)
-    chosen = {c for c, v in containers.items() if v >= 0.2 * most}
+    chosen = [c for c, f, (_, _, t, linked) in zip(around, fused, rows) if f >= level and len(t) > 2 * linked]
+    chosen = chosen or [c for c, (path, *_) in zip(around, rows) if not _MARKED.isdisjoint(path)]
     if not chosen:
         return "\n\n".join(r[2] for r in rows)
-    return "\n\n".join(t for (_, numbers, t, linked) in rows if any(numbers[: len(c)] == c for c in chosen) and len(t) > linked)
+    span = os.path.commonprefix(chosen)
+    path = next(path for path, numbers, *_ in rows if numbers[: len(span)] == span)
+    span = span[: next((k + 1 for k, tag in enumerate(path[: len(span)]) if tag in _MARKED), len(span))]
+    return "\n\n".join(t for _, numbers, t, _ in rows if numbers[: len(span)] == span)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -318,6 +318,19 @@ def test_html():
     assert html_text.extract("") == "" and html_text.extract("<p>") == "" and html_text.extract("just text") == "just text" and html_text.extract("<article><p>cut <b>of") == "cut of"
 
 
+def test_html_several_elements_hold_the_text():
+    long = "Plain words, and more of them, follow each other here. " * 12
+    menu = "<div><a href=x>One</a> <a href=y>Two</a></div>"
+    page = f"<body>{menu}<div><section><p>{long}</p></section><section><p>Short, but part of it.</p><p><a href=z>A linked line</a></p></section></div><div><span>tiny</span></div></body>"
+    assert html_text.extract(page) == f"{long.strip()}\n\nShort, but part of it.\n\nA linked line"
+    page = f"<body>{menu}<main><h1>Name</h1><div><p>{long}</p><p>{long}</p></div></main><article><span>Teaser</span></article></body>"
+    assert html_text.extract(page) == f"Name\n\n{long.strip()}\n\n{long.strip()}"
+    page = f"<body><div><p>{long}</p></div><article><p>Teaser card, see more.</p></article></body>"
+    assert long.strip() in html_text.extract(page)
+    page = f"<body><article><p>{long}</p></article><article><p>{long}</p></article></body>"
+    assert html_text.extract(page).count(long.strip()) == 2
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<p>x</p>"), (3, "w", "<div>" * 3000 + "deep")]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
