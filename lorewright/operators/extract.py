@@ -69,10 +69,42 @@ def relations(chunks: DataFrame, gazetteer: dict[str, str], score: float = 0.8)
     return chunks.select("doc_id", "idx", "text").mapInPandas(run, RELATIONS)
 
 
-def gap(found: DataFrame, most: int = 100) -> DataFrame:
-    """Pairs of a chunk's entities at most so many characters apart, in order."""
+def fit(between: str, preds: list[str]) -> tuple[str, float]:
+    """The predicate most like the words between two entities, 1 where they name it whole; ties go to the first."""
+    low, best = between.lower(), ("", 0.0)
+    for p in preds:
+        want = p.lower()
+        if want:
+            named = re.search(rf"(?<![A-Za-z0-9_]){re.escape(want)}(?![A-Za-z0-9_])", low)
+            score = 1.0 if named else ratio(want, low)
+            best = (p, score) if score > best[1] else best
+    return best
+
+
+def gap(chunks: DataFrame, found: DataFrame, preds: list[str] | None = None, most: int = 100, least: float = 0.6) -> DataFrame:
+    """Pairs of a chunk's entities of different names at most so many characters apart, in order.
+
+    Without preds the predicate is related_to; with preds it is the one of them that resembles the words between by least or more,
+    and pairs without such, or without words between, are none.
+    """
     a, b = (found.select("doc_id", "idx", *[F.col(c).alias(f"{c}_{n}") for c in ("text", "start", "end")]) for n in "ab")
-    return a.join(b, ["doc_id", "idx"]).where((F.col("start_b") >= F.col("end_a")) & (F.col("start_b") - F.col("end_a") <= most)).select("doc_id", "idx", F.col("text_a").alias("subject"), F.col("text_b").alias("object"), (F.col("start_b") - F.col("end_a")).alias("gap"))
+    near = a.join(b, ["doc_id", "idx"]).where((F.col("start_b") >= F.col("end_a")) & (F.col("start_b") - F.col("end_a") <= most) & (F.lower("text_a") != F.lower("text_b")))
+    near = near.join(chunks.select("doc_id", "idx", "text"), ["doc_id", "idx"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for d, i, t, x, y, x0, x1, y0, y1 in zip(pdf.doc_id, pdf.idx, pdf.text, pdf.text_a, pdf.text_b, pdf.start_a, pdf.end_a, pdf.start_b, pdf.end_b):
+                predicate, score, between = "related_to", 0.6, None
+                if preds:
+                    between = t[x1:y0].strip()
+                    predicate, score = fit(between, preds) if between else ("", -1.0)
+                    if score < least:
+                        continue
+                rows.append((d, i, x, predicate, y, score, y0 - x1, between, t[max(x0 - 30, 0) : y1 + 30]))
+            yield pd.DataFrame(rows, columns=["doc_id", "idx", "subject", "predicate", "object", "score", "gap", "between", "context"])
+
+    return near.mapInPandas(run, "doc_id long, idx int, subject string, predicate string, object string, score double, gap int, between string, context string")
 
 
 def mentions(chunks: DataFrame, found: DataFrame) -> DataFrame:

@@ -602,7 +602,8 @@ def extract_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def extract_gap(spark: SparkSession, d: str) -> DataFrame:
-    return extract.gap(extract.entities(_chunks(spark, d), _gazetteer(spark, d)))
+    c = _chunks(spark, d)
+    return extract.gap(c, extract.entities(c, _gazetteer(spark, d)), ["is based in", "paid", "on"])
 
 
 @query("SELECT s_suppkey AS doc_id, 'It' AS text, n_name AS refers FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -323,3 +323,14 @@ def test_retrieval(spark):
     assert f1 == pytest.approx(2 / 3)
     assert retrieval.bootstrap([1.0, 1.0, 1.0]) == (1.0, 1.0) and retrieval.bootstrap([0.0, 1.0]) == (0.0, 1.0)
     assert spark.createDataFrame([(["running", "cats"],)], "w array<string>").select(retrieval.stems("w").alias("s")).first().s == ["run", "cat"]
+
+
+def test_gap_names_the_relation(spark):
+    chunks = spark.createDataFrame([(1, 0, "Ada was working at Acme. ADA likes Zed, Ada")], "doc_id long, idx int, text string")
+    found = extract.entities(chunks, {"Ada": "PERSON", "ADA": "PERSON", "Acme": "ORG", "Zed": "ORG"})
+    plain = {(r.subject, r.predicate, r.object) for r in extract.gap(chunks, found).collect()}
+    assert ("Ada", "related_to", "Acme") in plain and not any(s.lower() == o.lower() for s, _, o in plain)
+    got = {(r.subject, r.object): r for r in extract.gap(chunks, found, ["likes", "works at"], most=20).collect()}
+    assert set(got) == {("Ada", "Acme"), ("ADA", "Zed"), ("Acme", "Zed"), ("Acme", "Ada")}
+    assert got["ADA", "Zed"].score == 1.0 and got["Ada", "Acme"].predicate == "works at" and 0.6 <= got["Ada", "Acme"].score < 1
+    assert got["ADA", "Zed"].between == "likes" and got["ADA", "Zed"].context == "Ada was working at Acme. ADA likes Zed, Ada"[0:43]
