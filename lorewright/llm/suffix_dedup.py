@@ -7,14 +7,17 @@ in seventy-seven is an anchor.
 
 1. Anchors are counted natively; one that occurs once ends here.
 2. Occurrences of equal whole context (the bytes a window around the anchor can reach) are counted as one: if there are two,
-   all windows in the context repeat. Only different contexts of one anchor go on, and their bytes are fetched by document.
+   all windows in the context repeat. Equal here means two 64-bit hashes, of the anchor and of the context, from tables that are
+   independent; their bytes are not compared. Only different contexts of one anchor go on, and their bytes are fetched by document.
 3. Contexts of an anchor are suffix-sorted: suffixes right of the anchor and reversed prefixes left of it each go through a
    mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes, at most eight
    steps for 200 bytes. Neighbours' extensions are then checked byte by byte; should a hash have collided, that batch is sorted
    by its bytes. A window with o bytes left of the anchor repeats if another context shares its run of common right
    extensions of 200 - o and its run of common left extensions of o. The outermost such windows bound what is removed.
 4. An anchor of more than CROWD contexts is not brought together: its windows, each with the anchor and its place in
-   them, are hashed to 128 bits and counted natively.
+   them, are hashed to 128 bits and counted natively; those bytes are not compared either.
+
+Each step is stored in the shared folder and dropped once the next has been stored, so the texts of one step are on disk at a time.
 
 Defined results: null counts as empty; texts under 200 bytes are left as they are; a repeated row repeats all its windows; a
 null id is a document like others; an empty table gives no rows; other columns are never read.
@@ -22,7 +25,6 @@ null id is a document like others; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import whole_groups
-from .textkit import _TABLE, U64, cut, flat, light, mix, pieces, powers, prefix, signed
+from .textkit import _TABLE, U64, Stored, flat, light, mix, pieces, powers, prefix, signed
 
 LENGTH, KEY, CROWD = 200, 48, 16384
 LEFT = LENGTH - KEY
@@ -289,30 +291,22 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([x[3] for x in out], pa.string()), pa.array([x[4] for x in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _release(docs: DataFrame) -> None:
-    """Lets the driver drop what it no longer holds, and with it the shuffle files of plans whose rows are stored."""
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()
-
-
 def covered(docs: DataFrame) -> DataFrame:
     """(id, h, runs): the byte runs [b, e) that repeated windows cover, for each document that has any; runs may overlap."""
+    tables = Stored(docs.sparkSession)
     rows = docs.select("id", "h", "text").where(F.octet_length("text") >= LENGTH)
     twice = rows.select("text").mapInArrow(_count, "ah long, n int").groupBy("ah").agg(F.sum("n").alias("n")).where("n > 1").select("ah")
     found = rows.mapInArrow(_occurrences, "id long, h long, ah long, ch long, pos long, lo long, hi long, more boolean")
     settled = found.where("ah is null")
-    seen = cut(found.where("ah is not null").join(twice, "ah").union(settled.select("ah", *[c for c in found.columns if c != "ah"])))
-    del found, twice, settled
-    _release(docs)
+    seen = tables.put("seen", found.where("ah is not null").join(twice, "ah").union(settled.select("ah", *[c for c in found.columns if c != "ah"])))
     inside = seen.where("ah is null").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("hi")).alias("e"))
     seen = seen.where("ah is not null")
-    contexts = cut(seen.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.max("more").alias("more"), F.min(F.struct("id", "h", "pos", "lo", "hi")).alias("at")))
+    contexts = tables.put("contexts", seen.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.max("more").alias("more"), F.min(F.struct("id", "h", "pos", "lo", "hi")).alias("at")))
     several = contexts.groupBy("ah").agg(F.count("*").alias("d")).where("d > 1")
     need = contexts.join(several, "ah").select("ah", "ch", "d", "at.*")
     wanted = need.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "lo", "hi", "ah", "ch")).alias("wanted"))  # at most one in a byte of the document
-    fetched = cut(rows.join(wanted, ["id", "h"]).select("text", "wanted").mapInArrow(_contexts, "ah long, ch long, left binary, right binary"))
-    _release(docs)
-    crowded = cut(several.where(F.col("d") > CROWD).select("ah"))
+    fetched = tables.put("fetched", rows.join(wanted, ["id", "h"]).select("text", "wanted").mapInArrow(_contexts, "ah long, ch long, left binary, right binary"))
+    crowded = tables.put("crowded", several.where(F.col("d") > CROWD).select("ah"))
     calm, parts = fetched, []
     if crowded.limit(1).count():
         calm = fetched.join(crowded, "ah", "left_anti")
@@ -325,21 +319,23 @@ def covered(docs: DataFrame) -> DataFrame:
     settled = parts[0]
     for p in parts[1:]:
         settled = settled.union(p)
-    reach = cut(settled.groupBy("ah", "ch").agg(F.max("l").alias("l"), F.max("r").alias("r")))
-    # texts and contexts were dealt for the rows just stored; once the driver has let go of them, their shuffle files go before texts are dealt again
-    del settled, parts, calm, fetched, need, wanted
-    _release(docs)
+    reach = tables.put("reach", settled.groupBy("ah", "ch").agg(F.max("l").alias("l"), F.max("r").alias("r")))
+    tables.drop("contexts", "fetched", "crowded")
     l, r = F.least("l", "lo"), F.least("r", "hi")
     outside = seen.join(reach, ["ah", "ch"]).where(l + r >= LENGTH).select("id", "h", (F.col("pos") - l).alias("b"), (F.col("pos") + r).alias("e"))
-    return inside.where(F.col("e") - F.col("b") >= LENGTH).union(outside).groupBy("id", "h").agg(F.collect_list(F.struct("b", "e")).alias("runs"))
+    runs = inside.where(F.col("e") - F.col("b") >= LENGTH).union(outside).groupBy("id", "h").agg(F.collect_list(F.struct("b", "e")).alias("runs"))
+    runs = tables.put("runs", runs)
+    tables.drop("seen", "reach")
+    return runs
 
 
 def suffix_dedup(docs: DataFrame, payload: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; payload adds kept, the remaining bytes, which may cut a character."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether anything goes); payload adds kept, the remaining bytes, which may cut a character."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = light(docs).select("doc_id", text.alias("text")).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "text")
     runs = covered(rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.join(runs, ["id", "h"], "left").select("doc_id", "text", "runs")
     out = out.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = out.withColumn("repeats", F.col("n_removed") > 0)
     return out if payload else out.drop("kept")

@@ -7,9 +7,11 @@ bounded by the piece size plus the longest single document, and no Python loop r
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -160,32 +162,79 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, as in tests, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local one serves a local master, as in tests; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    folder = context._jsc.sc().getCheckpointDir()
     if path:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not folder.isDefined():
             context.setCheckpointDir(path)
         return path.rstrip("/")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if not folder.isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), f"lorewright-{os.getpid()}"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _opened(spark: SparkSession, path: str) -> tuple:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name in the shared folder; what is written there goes when the session's JVM ends, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    system, own = _opened(spark, path)
+    system.mkdirs(own.getParent())
+    system.mkdirs(own)
+    system.deleteOnExit(own)
+    return path
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go as soon as it has ended; the session's own setting stands again afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+class Stored:
+    """Tables that cut lineage as compressed Parquet in the shared folder, and that can be dropped once they have been read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = workspace(self.spark, name)
+        with tidy(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            system, own = _opened(self.spark, self.paths.pop(name))
+            system.delete(own, True)
 
 
 def light(df: DataFrame) -> DataFrame:
-    """df, its session set to hand Python workers a few megabytes at a time: rows here are texts, and ten thousand of them are many."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """df, its session set to hand Python workers at most four megabytes at a time: rows here are texts, and ten thousand of them are many.
+
+    The limit is by bytes alone, so narrow rows still travel by the session's own number.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df
 
