@@ -66,7 +66,7 @@ def checked_suffixes(spark, rows):
     for d, b, marks in brute.removed(rows):
         rest = bytes(x for x, m in zip(b, marks) if not m)
         want.append((d, len(b), sum(marks), sum(m and not (i and marks[i - 1]) for i, m in enumerate(marks)), hashlib.sha256(rest).hexdigest()))
-    assert [tuple(r) for r in got] == sorted(want, key=lambda r: (r[0] is not None, r[0] or 0, r[4]))
+    assert [tuple(r)[:5] for r in got] == sorted(want, key=lambda r: (r[0] is not None, r[0] or 0, r[4])) and all(r.repeats == (r.n_removed > 0) for r in got)
 
 
 def test_suffix_dedup(spark):
@@ -270,22 +270,61 @@ def test_language_model(spark, rows):
 
 
 def test_toxicity(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    r = toxicity.score(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
-    pos, neg = r[r.toxic == 1].score, r[r.toxic == 0].score
-    auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
-    assert auc > 0.65 and ((0 <= r.score) & (r.score <= 1)).all() and (r.predicted == (r.score >= 0.3)).all()
+    known = labels.select("doc_id", "toxic").join(docs.select("doc_id", "lang"), "doc_id")
+    r = toxicity.score(docs, labels).join(known, "doc_id").where("held_out").toPandas()
+    pos, neg = r[r.toxic == 1], r[r.toxic == 0]
+    assert np.mean([(p > n) + 0.5 * (p == n) for p in pos.score for n in neg.score]) > 0.95
+    assert ((0 <= r.score) & (r.score <= 1)).all() and (r.predicted == (r.score >= 0.3)).all()
+    assert (pos.groupby("lang").predicted.mean() >= 0.85).all() and pos.lang.nunique() == 4 and neg.predicted.mean() <= 0.02
     model = toxicity.fit(docs, labels)
     texts = ["you are a stupid worthless idiot, you moron", "The house stands by the river.", "", "you st*pid m0ron"]
     out = next(toxicity.scorer(model)(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "held_out": [False] * 4, "text": texts})])))
     assert out.column("predicted").to_pylist()[:3] == [1, 0, 0]
 
 
+def test_toxicity_hard_rows(spark):
+    labels = spark.createDataFrame([(d, k % 2, k % 2, None) for k, (d, _) in enumerate(HARD)] + [(1, 0, 1, None), (None, 1, 1, None), (99, None, None, None)], "doc_id long, quality int, toxic int, text string")
+    got = toxicity.score(frame(spark, HARD), labels).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((d is None, d or 0) for d, _ in HARD)
+    assert all(0 <= r.score <= 1 for r in got) and not any(r.held_out for r in got if r.doc_id is None)
+    kept = toxicity.keep_clean(frame(spark, HARD), labels)
+    assert kept.columns == frame(spark, HARD).columns and kept.count() == sum(1 - r.predicted for r in got)
+
+
+def test_lexicon_is_learned_without_the_fold(spark):
+    """Against plain counting: terms of each fold's lexicon and their weights."""
+    import math
+
+    r = random.Random(12)
+    rows = [(int(k % 5 == 0), ("vilething " if k % 5 == 0 and k % 10 else "") + " ".join(f"w{r.randrange(40)}" for _ in range(12)), k % toxicity.FOLDS) for k in range(300)]
+    got = toxicity.lexicons(spark.createDataFrame(rows, "toxic int, text string, fold int"))
+    for out in range(toxicity.FOLDS + 1):
+        own = [(t, x) for t, x, f in rows if f != out]
+        want = {}
+        sets = [(t, {w for word in x.split() for w in {word, *(word[:k] for k in toxicity.PREFIXES if len(word) > k)}}) for t, x in own]
+        n = [sum(t == k for t, _ in sets) for k in (0, 1)]
+        for w in {w for _, s in sets for w in s}:
+            c = [sum(w in s for t, s in sets if t == k) for k in (0, 1)]
+            odds = math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1)) - 1.5 * math.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5))
+            if c[1] >= toxicity.LEAST and odds >= toxicity.MINIMUM:
+                want[w] = odds
+        names = textkit.words(*textkit.flat(pa.array(sorted(want))))[0]
+        expected = dict(zip(names.tolist(), (want[w] for w in sorted(want))))
+        assert dict(zip(got[out][0].tolist(), got[out][1].tolist())) == pytest.approx(expected) and "vilething" in want
+
+
 def test_disguised_words():
     assert toxicity._revealed(b"m0ron") and toxicity._revealed(b"st*pid") and toxicity._revealed(b"i.d.i.o.t") and not toxicity._revealed(b"river-side")
     x = toxicity.features(pa.array(["You IDIOT!", None, "", "plain words here"]))
-    assert x[0, 1] == 1 and x[0, 4] == 1 and x[1].tolist() == x[2].tolist() and x[3, 1] == 0
+    at = toxicity.NAMES.index
+    assert x[0, at("lexicon_count")] == 1 and x[0, at("near_second_person")] == 1 and x[0, at("second_person")] == 0.5 and x[1].tolist() == x[2].tolist() and x[3, at("lexicon_count")] == 0
+    drawn = toxicity.features(pa.array(["what an idiooot", "m0ron he is", "a good book", "x" * 60 + "1" + "y" * 60]))
+    assert drawn[:, at("disguised_count")].tolist() == [1, 1, 0, 0] and drawn[0, at("disguised_density")] > 0
+    term = textkit.words(*textkit.flat(pa.array(["vile"])))[0]
+    x = toxicity.features(pa.array(["you vileness", "vile", "nice"]), (term, np.array([2.0])))
+    assert x[:, at("learned_count")].tolist() == [1, 1, 0] and x[:, at("learned_near_second_person")].tolist() == [1, 0, 0] and x[0, at("learned_top")] == 2
 
 
 def test_toxicity_without_labels(spark):
