@@ -119,6 +119,30 @@ def register(name: str, splitter: Callable[[str, int, int], list[tuple[int, int]
     SPLITTERS[name] = splitter
 
 
+def names() -> list[str]:
+    return sorted([*SPLITTERS, "chars"])
+
+
+def first_of(*splitters: str | Callable[[str, int, int], list[tuple[int, int]]]) -> Callable[[str, int, int], list[tuple[int, int]]]:
+    """A splitter, to be registered, that takes the first of others which neither fails nor gives nothing; if all fail, the last failure is raised."""
+
+    def run(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+        failed = None
+        for s in splitters:
+            try:
+                found = (SPLITTERS[s] if isinstance(s, str) else s)(text, size, overlap)
+            except Exception as why:
+                failed = why
+                continue
+            if found:
+                return found
+        if failed:
+            raise failed
+        return []
+
+    return run
+
+
 def split(docs: DataFrame, name: str, size: int, overlap: int = 0) -> DataFrame:
     """(doc_id, idx, text, start, end) by a splitter's name; start and end are bytes."""
     if name == "chars":
@@ -139,7 +163,7 @@ def split(docs: DataFrame, name: str, size: int, overlap: int = 0) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
 
 
-def semantic(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]], threshold: float) -> DataFrame:
+def by_meaning(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]], threshold: float) -> DataFrame:
     """Sentences joined while neighbours' vectors, which the caller's embed gives, are alike at the threshold or more."""
 
     def cos(a: list[float], b: list[float]) -> float:

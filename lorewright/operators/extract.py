@@ -192,3 +192,92 @@ def by_model(chunks: DataFrame, model: Callable[[str], str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "idx", "subject", "predicate", "object", "start", "end", "score"])
 
     return chunks.select("doc_id", "idx", "text").mapInPandas(run, RELATIONS)
+
+
+def find(chunks: DataFrame, *finders: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Entities of several finders: of spans that meet in a chunk the best stay, by score, length and start."""
+    every = finders[0](chunks)
+    for f in finders[1:]:
+        every = every.unionByName(f(chunks))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        text = {(a, b): t for a, b, t in zip(pdf.start, pdf.end, pdf.text)}
+        kept = sift(list(zip(pdf.start, pdf.end, pdf.label, pdf.score)))
+        return pd.DataFrame([(pdf.doc_id.iloc[0], pdf.idx.iloc[0], text[a, b], label, a, b, s) for a, b, label, s in kept], columns=["doc_id", "idx", "text", "label", "start", "end", "score"])
+
+    return every.groupBy("doc_id", "idx").applyInPandas(best, ENTITIES)  # what one chunk holds
+
+
+def triples(chunks: DataFrame, *finders: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(ord, s, p, o, score, doc, idx): relations of several finders as assertions, equal ones of a chunk once with their best score, in reading order."""
+    every = finders[0](chunks)
+    for f in finders[1:]:
+        every = every.unionByName(f(chunks))
+    own = every.groupBy("doc_id", "idx", "subject", "predicate", "object").agg(F.max("score").alias("score"), F.min("start").alias("start"))
+    at = F.struct("doc_id", "idx", "start", "subject", "predicate", "object")
+    return own.select(F.xxhash64(at).alias("ord"), F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), "score", F.col("doc_id").cast("string").alias("doc"), "idx")
+
+
+class SchemaError(ValueError):
+    """A vocabulary that contradicts itself."""
+
+
+class Schema:
+    """Classes and properties: predicate -> (domain, range), where none is free. Read back from rows (predicate, domain, range)."""
+
+    def __init__(self, classes: list[str], properties: dict[str, tuple[str | None, str | None]]):
+        unknown = {c for pair in properties.values() for c in pair if c is not None} - set(classes)
+        if unknown:
+            raise SchemaError(f"no class {sorted(unknown)[0]}")
+        self.classes, self.properties = classes, properties
+
+    @classmethod
+    def read(cls, rows: DataFrame) -> Schema:
+        found = rows.select("predicate", "domain", "range").distinct().collect()  # a vocabulary
+        return cls(sorted({x for r in found for x in (r[1], r[2]) if x}), {r[0]: (r[1], r[2]) for r in found})
+
+    def allows(self, predicate: str, domain: str | None = None, range_: str | None = None) -> bool:
+        if predicate not in self.properties:
+            return False
+        return all(want is None or got is None or want == got for want, got in zip(self.properties[predicate], (domain, range_)))
+
+    def check(self, rel: DataFrame, kinds: DataFrame) -> DataFrame:
+        """Relations with fault: unknown predicate, domain or range, by the kinds (name, label) of their ends; null where all is well or a kind is unknown."""
+        table = F.broadcast(rel.sparkSession.createDataFrame([(p, d, r) for p, (d, r) in self.properties.items()], "predicate string, _d string, _r string"))
+        kind = lambda end: kinds.groupBy(F.col("name").alias(end)).agg(F.min("label").alias(f"_{end}"))
+        rows = rel.join(table.withColumn("_known", F.lit(True)), "predicate", "left").join(kind("subject"), "subject", "left").join(kind("object"), "object", "left")
+        fault = F.when(F.col("_known").isNull(), "predicate").when(F.col("_d") != F.col("_subject"), "domain").when(F.col("_r") != F.col("_object"), "range")
+        return rows.withColumn("fault", fault).select(*rel.columns, "fault")
+
+    def keep(self, rel: DataFrame, kinds: DataFrame) -> DataFrame:
+        return self.check(rel, kinds).where("fault is null").drop("fault")
+
+
+def chat_body(model: str, system: str, user: str, temperature: float = 0.0, most: int | None = None) -> str:
+    """The JSON body of a chat completion."""
+    import json
+
+    body = {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "temperature": temperature}
+    return json.dumps(body | ({"max_tokens": most} if most else {}), sort_keys=True)
+
+
+class ChatError(ValueError):
+    """An answer that is no completion."""
+
+
+def chat_answer(status: int, body: str) -> str:
+    import json
+
+    try:
+        got = json.loads(body)
+    except ValueError as why:
+        raise ChatError(f"status {status}: not JSON") from why
+    if status >= 400 or not isinstance(got, dict) or not got.get("choices"):
+        reason = got.get("error", {}).get("message") if isinstance(got, dict) and isinstance(got.get("error"), dict) else None
+        raise ChatError(reason or f"status {status}: no choices")
+    return got["choices"][0]["message"]["content"] or ""
+
+
+def chat(send: Callable[[str], tuple[int, str]], model: str, system: str) -> Callable[[str], str]:
+    """A model for by_model from a sender of bodies, which the caller brings."""
+    return lambda text: chat_answer(*send(chat_body(model, system, text)))

@@ -32,6 +32,19 @@ def nodes(triples: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
     return own.join(kinds, "id", "left").select("id", "name", "type", "ord")
 
 
+def put(node: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes (id, name, type, ord, props MAP<STRING,STRING>) after new (ord, id, props): unknown ids are added, after those there are; a property that stands keeps its first value. Ids that fold to nothing are refused."""
+    if "props" not in node.columns:
+        node = node.withColumn("props", F.create_map().cast("map<string,string>"))
+    told = new.where(fold(F.col("id")) != "").select(fold(F.col("id")).alias("id"), F.col("id").alias("name"), "ord", F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props"))
+    each = node.select("id", F.lit(-1).cast("long").alias("ord"), F.explode("props").alias("k", "v")).union(told.select("id", "ord", F.explode("props").alias("k", "v")))
+    props = each.groupBy("id", "k").agg(F.min_by("v", "ord").alias("v")).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("p"))
+    last = node.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("last"))
+    fresh = told.groupBy("id").agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("at")).join(node.select("id"), "id", "left_anti").crossJoin(F.broadcast(last))  # one row
+    every = node.select("id", "name", "type", "ord").union(fresh.select("id", "name", F.lit(None).cast("string"), F.col("last") + 1 + F.col("at")))
+    return every.join(props, "id", "left").select("id", "name", "type", "ord", F.coalesce("p", F.create_map().cast("map<string,string>")).alias("props"))
+
+
 def _whole(triples: DataFrame) -> DataFrame:
     return triples.where(" and ".join(f"trim({c}) <> ''" for c in "spo"))
 

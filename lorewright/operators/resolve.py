@@ -160,16 +160,20 @@ def excludes(claims: DataFrame, apart: DataFrame) -> DataFrame:
 
 def tally(conflicts: DataFrame) -> DataFrame:
     """Counts by kind, by level and by property in one pass of grouping sets."""
-    conflicts.createOrReplaceTempView("lorewright_conflicts")
-    return conflicts.sparkSession.sql("select conflict, level, prop, count(*) as n from lorewright_conflicts group by grouping sets ((conflict), (level), (prop))")
+    by = [F.col(c) for c in ("conflict", "level", "prop")]
+    return conflicts.groupingSets([[c] for c in by], *by).agg(F.count("*").alias("n")).select("conflict", "level", "prop", "n")
 
 
 def settle_claims(claims: DataFrame, rule: str, trust: DataFrame | None = None) -> DataFrame:
     """(subject, prop, value, support): one value for each, by vote, credible, newest, oldest or sure; ties to the first stated.
 
+    The rule flag settles nothing: value and support are null, so that a person can decide.
+
     trust (doc, weight) says how far a document is believed, .5 where nothing is said.
     """
     rows = claims
+    if rule == "flag":
+        return rows.select("subject", "prop").distinct().select("subject", "prop", F.lit(None).cast(claims.schema["value"].dataType).alias("value"), F.lit(None).cast("double").alias("support"))
     if rule == "credible":
         rows = rows.join(trust, "doc", "left").withColumn("w", F.coalesce("weight", F.lit(0.5)))
     support = {"vote": F.count("*"), "credible": F.round(F.sum("w"), 9) if rule == "credible" else None, "newest": F.max("at"), "oldest": F.min("at"), "sure": F.max("score")}[rule]

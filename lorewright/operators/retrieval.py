@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.udf import arrow
+from ..plans.iterate import settle
 
 _V = r"(?:[aeiou]|(?<=[^aeiou])y)"
 _STEPS2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
@@ -96,6 +97,64 @@ def vectors(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return x.join(size, key).select(key, "term", (F.col("w") / F.col("size")).alias("weight"))
 
 
+def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """(auc): the mid-ranked Mann-Whitney share of pairs in order, from counts by score.
+
+    Distinct scores are ranged into partitions and each partition's totals are added up first, so no task holds all scores.
+    """
+    by = scored.groupBy(F.col(score).alias("x")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
+    parts = settle(by.repartitionByRange("x").withColumn("part", F.spark_partition_id()))
+    totals = parts.groupBy("part").agg(F.sum("q").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
+    own = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("before") + F.coalesce(F.sum("q").over(own), F.lit(0))
+    rows = parts.join(F.broadcast(totals.select("part", "before")), "part").withColumn("b", below)
+    return rows.agg((F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+
+
+def counted(docs: DataFrame, key: str = "doc_id", pattern: str = r"([a-z]+)") -> DataFrame:
+    """(key, term, tf)."""
+    return docs.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), 1)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def heaviest(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """(key, term, weight): the k terms of each document that weigh most by tf times idf. Counts are stored once and read twice."""
+    f = settle(counted(docs, key))
+    df = f.groupBy("term").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("n"))
+    x = f.join(df, "term").crossJoin(F.broadcast(n)).withColumn("v", F.col("tf") * F.log(F.col("n") / F.col("df")))  # one row
+    best = Window.partitionBy(key).orderBy(F.desc(F.round("v", 9)), "term")
+    return x.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).select(key, "term", F.round("v", 6).alias("weight"))
+
+
+def shared(docs: DataFrame, asks: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """(ask, key, shared, rank): the k documents that have most of a question's terms, through a join on the terms."""
+    each = lambda df, c: counted(df, c).select(c, "term")
+    found = each(docs, key).join(each(asks, "ask"), "term").groupBy("ask", key).agg(F.count("*").alias("shared"))
+    best = Window.partitionBy("ask").orderBy(F.desc("shared"), key)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+_SELF = r"(?i)\b(i|i'm|i've|i'd|i'll|me|my|mine|we|our)\b"
+
+
+def claims(turns: DataFrame) -> DataFrame:
+    """(conv, turn, who, k, text): what a speaker says of themselves or of things, one row a sentence; questions are no claims, and I stands for the speaker."""
+    said = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: (F.trim(x) != "") & ~F.trim(x).endswith("?"))
+    own = turns.select("conv", "turn", "who", F.posexplode(said).alias("k", "text"))
+    return own.withColumn("of", F.when(F.col("text").rlike(_SELF), F.col("who")).otherwise(F.lit(None).cast("string")))
+
+
+def evaluate(results: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., n, f1, recall, quiet) of results (..., answer, gold, found ARRAY, evidence ARRAY): an answer of null or none is quiet.
+
+    Adversarial rows have no gold, and being quiet is right for them.
+    """
+    quiet = F.coalesce(F.trim("answer"), F.lit("")) == ""
+    f1 = F.when(F.col("gold").isNull(), quiet.cast("double")).when(quiet, 0.0).otherwise(overlap_f1(F.col("answer"), F.col("gold")))
+    recall = F.when(F.size("evidence") > 0, F.size(F.array_intersect("found", "evidence")) / F.size("evidence"))
+    return results.groupBy(*by).agg(F.count("*").alias("n"), F.avg(f1).alias("f1"), F.avg(recall).alias("recall"), F.avg(quiet.cast("double")).alias("quiet"))
+
+
 def answers(docs: DataFrame, asks: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """(ask, key, score, rank): the k nearest of docs to each of asks (ask, text) by weighted terms; only shared terms are joined."""
     weights = vectors(docs, key)

@@ -531,12 +531,6 @@ def text_tags(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", T.flat(T.tags(F.col("html"))).alias("text"))
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT line, count(DISTINCT doc_id) AS docs FROM l WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 5")
-def text_repeats(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
-    return rows.groupBy("line").agg(F.count_distinct("doc_id").alias("docs")).where("docs >= 5")
-
-
 @query()
 def pages_parse(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", P.parse(F.lit("html"), F.col("html")).alias("p")).select("page_id", "p.title", F.size("p.sections").alias("sections"), F.size("p.links").alias("links"))
@@ -665,11 +659,6 @@ def memory_recall(spark: SparkSession, d: str) -> DataFrame:
     return agent.recall(_notes(spark, d), "the and of", 20).select("scope", "ord", F.round("score", 6).alias("score"))
 
 
-@query("SELECT conv_id AS scope, turn AS ord FROM conversations WHERE role = 'user' AND text LIKE '%the%'")
-def memory_about(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "conversations").where("role = 'user' and text like '%the%'").select(F.col("conv_id").alias("scope"), F.col("turn").alias("ord"))
-
-
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
     o = _t(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("topic"), F.col("o_orderstatus").alias("choice"), F.col("o_totalprice").alias("price"), ((F.col("o_orderkey") % 10) / 10).alias("confidence"))
@@ -776,11 +765,6 @@ def export_dot(spark: SparkSession, d: str) -> DataFrame:
     return export.dot(_triples(spark, d)).select("line")
 
 
-@query()
-def export_cypher(spark: SparkSession, d: str) -> DataFrame:
-    return export.cypher(_triples(spark, d)).select("line")
-
-
 @query("WITH s AS (SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM g GROUP BY user_id, g")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return memory.sessions(_t(spark, d, "events"), "30 minutes")
@@ -789,32 +773,14 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- retrieval measures
 
 
-@query("WITH r AS (SELECT toxic, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS r FROM labels JOIN documents USING (doc_id)), s AS (SELECT sum(CASE WHEN toxic = 1 THEN r ELSE 0 END) AS x, sum(toxic) AS p, count(*) - sum(toxic) AS q FROM r) SELECT round((x - p * (p + 1) / 2) / (p * q), 6) AS auc FROM s")
-def auc(spark: SparkSession, d: str) -> DataFrame:
-    """Mid-ranked Mann-Whitney from counts by score, so that no task ranks all rows."""
-    rows = _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id")
-    by = rows.groupBy("n_chars").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
-    below = F.coalesce(F.expr("sum(q) over (order by n_chars rows between unbounded preceding and 1 preceding)"), F.lit(0))
-    return by.select("p", "q", below.alias("b")).agg(F.round(F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)) / (F.sum("p") * F.sum("q")), 6).alias("auc"))
-
-
 @query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents), f AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL), g AS (SELECT t, count(*) AS df FROM f GROUP BY t), n AS (SELECT count(*) AS n FROM documents), x AS (SELECT doc_id, t, tf * ln(n / df) AS v FROM f JOIN g USING (t), n), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(v, 9) DESC, t) AS k FROM x) SELECT doc_id, t AS term, round(v, 6) AS weight FROM r WHERE k <= 3")
 def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents")
-    f = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = f.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    x = f.join(df, "term").crossJoin(F.broadcast(n)).withColumn("v", F.col("tf") * F.log(F.col("n") / F.col("df")))
-    return x.withColumn("k", F.expr("row_number() over (partition by doc_id order by round(v, 9) desc, term)")).where("k <= 3").select("doc_id", "term", F.round("v", 6).alias("weight"))
+    return retrieval.heaviest(_t(spark, d, "documents"), 3)
 
 
 @query("WITH a AS (SELECT item_id AS ask, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents), x AS (SELECT ask, doc_id, len(list_intersect(a.t, d.t)) AS shared FROM a, d), r AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY shared DESC, doc_id) AS rank FROM x WHERE shared > 0) SELECT ask, doc_id, shared, rank FROM r WHERE rank <= 5")
 def retrieval_shared(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by the number of a question's terms that they have, through a join on the terms."""
-    each = lambda df, *key: df.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))).alias("term"))
-    asks = each(_t(spark, d, "benchmark"), F.col("item_id").alias("ask"))
-    found = each(_t(spark, d, "documents"), "doc_id").join(asks, "term").groupBy("ask", "doc_id").agg(F.count("*").alias("shared"))
-    return found.withColumn("rank", F.expr("row_number() over (partition by ask order by shared desc, doc_id)")).where("rank <= 5")
+    return retrieval.shared(_t(spark, d, "documents"), _t(spark, d, "benchmark").select(F.col("item_id").alias("ask"), "text"), 5)
 
 
 @query()
@@ -826,3 +792,6 @@ def retrieval_answers(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def term_stems(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select("item_id", retrieval.stems(retrieval.terms(F.col("text"))).alias("stems"))
+
+
+from . import more as _more  # noqa: E402, F401  registers its queries beside these

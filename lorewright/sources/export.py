@@ -6,6 +6,8 @@ that sort first and last.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +105,21 @@ def cypher(t: DataFrame) -> DataFrame:
     return _lines(t, F.concat(F.lit("MERGE (a:Entity {name: "), _quoted(F.col("s")), F.lit("}) MERGE (b:Entity {name: "), _quoted(F.col("o")), F.lit("}) MERGE (a)-[:"), label, F.lit("]->(b);")))
 
 
-FORMATS = {"nt": nt, "ttl": ttl, "rdfxml": rdfxml, "jsonld": jsonld, "ndjson": ndjson, "csv": table, "tsv": lambda t: table(t, "\t"), "dot": dot, "graphml": graphml, "gexf": gexf, "mermaid": mermaid, "cypher": cypher}
+def json_array(t: DataFrame) -> DataFrame:
+    """One array: an object a line, a comma before all but the first, which is that of the smallest ord."""
+    first = t.agg(F.min("ord").alias("_first"))
+    body = F.to_json(F.struct(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"), "score", "doc"))
+    return _lines(t.crossJoin(F.broadcast(first)), F.concat(F.when(F.col("ord") > F.col("_first"), ", ").otherwise("  "), body), "[", "]")  # one row
+
+
+def yaml(t: DataFrame) -> DataFrame:
+    """A list of maps; every text is quoted, so none can be read as another kind."""
+    text = lambda c: _quoted(F.coalesce(F.col(c), F.lit("")))
+    number = F.col("score").cast("string")
+    return _lines(t, F.concat(F.lit("- {subject: "), text("s"), F.lit(", predicate: "), text("p"), F.lit(", object: "), text("o"), F.lit(", score: "), F.coalesce(number, F.lit("null")), F.lit(", doc: "), text("doc"), F.lit("}")))
+
+
+FORMATS = {"json": json_array, "yaml": yaml, "nt": nt, "ttl": ttl, "rdfxml": rdfxml, "jsonld": jsonld, "ndjson": ndjson, "csv": table, "tsv": lambda t: table(t, "\t"), "dot": dot, "graphml": graphml, "gexf": gexf, "mermaid": mermaid, "cypher": cypher}
 
 
 def write(triples: DataFrame, name: str, path: str) -> None:
@@ -126,6 +142,10 @@ def _named(c: Column) -> Column:
     return F.when(own.startswith(ROOT), F.url_decode(F.replace(F.substring(own, len(ROOT) + 1, 1 << 20), F.lit("_"), F.lit("%20")))).otherwise(own)
 
 
+def _bare(c: Column) -> Column:
+    return F.when(c.startswith(ROOT), F.url_decode(F.replace(F.substring(c, len(ROOT) + 1, 1 << 20), F.lit("_"), F.lit("%20")))).otherwise(c)
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("ord"), "s", "p", "o", "score", "doc")
 
@@ -141,6 +161,32 @@ def read_nt(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(found.withColumns({"score": F.lit(0.0), "doc": F.lit("")}))
 
 
+def read_jsonld(spark: SparkSession, path: str) -> DataFrame:
+    """JSON-LD: objects a line, one array, or one @graph; a value is {"@id"}, {"@value"}, a plain value, or a list of them. @context maps short names by a prefix or a whole address."""
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    kind = "array<map<string,string>>"
+    split = F.concat(F.lit("["), F.regexp_replace("v", r"\}\s*\n\s*\{", "},{"), F.lit("]"))
+    array = F.when(F.col("v").startswith("["), F.col("v")).otherwise(split)
+    heads = whole.select(F.explode(F.from_json(array, kind)).alias("n"))
+    graph = F.col("n")["@graph"]
+    context = F.from_json(F.col("n")["@context"], "map<string,string>")
+    nodes = heads.select(context.alias("c"), F.explode(F.when(graph.isNotNull(), F.from_json(graph, kind)).otherwise(F.array(F.map_filter("n", lambda k, _: k != "@context")))).alias("n"))
+    each = nodes.select("c", F.col("n")["@id"].alias("s"), F.explode("n").alias("p", "v")).where("p not in ('@id', '@context')")
+    values = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).otherwise(F.array("v"))
+    each = each.select("c", "s", "p", F.explode(values).alias("v"))
+    obj = F.coalesce(F.get_json_object("v", "$['@id']"), F.get_json_object("v", "$['@value']"), F.col("v"))
+    prefix = F.substring_index(F.col("p"), ":", 1)
+    longer = F.coalesce(F.col("c")[F.col("p")], F.when(F.contains("p", F.lit(":")), F.concat(F.col("c")[prefix], F.substring(F.col("p"), F.length(prefix) + 2, F.lit(1 << 20)))), F.col("p"))
+    name = F.when(F.col("p") == "@type", F.lit("type")).otherwise(_bare(longer))
+    found = each.select(_bare(F.col("s")).alias("s"), name.alias("p"), _bare(obj).alias("o"))
+    return _numbered(found.withColumns({"score": F.lit(0.0), "doc": F.lit("")}))
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema("subject string, predicate string, object string, score double, doc string").option("multiLine", True).json(path)
+    return _numbered(rows.toDF("s", "p", "o", "score", "doc"))
+
+
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("subject string, predicate string, object string, score double, doc string").json(path)
     return _numbered(rows.toDF("s", "p", "o", "score", "doc"))
@@ -153,7 +199,7 @@ def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return _numbered(rows.select(own("subject").alias("s"), own("predicate").alias("p"), own("object").alias("o"), F.coalesce(F.expr("try_cast(score as double)") if "score" in rows.columns else F.lit(0.0), F.lit(0.0)).alias("score"), own("doc").alias("doc")))
 
 
-READERS = {"nt": read_nt, "ndjson": read_ndjson, "csv": read_table, "tsv": lambda spark, path: read_table(spark, path, "\t"), "parquet": lambda spark, path: spark.read.parquet(path)}
+READERS = {"jsonld": read_jsonld, "json": read_json, "nt": read_nt, "ndjson": read_ndjson, "csv": read_table, "tsv": lambda spark, path: read_table(spark, path, "\t"), "parquet": lambda spark, path: spark.read.parquet(path)}
 
 
 def read(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -164,3 +210,25 @@ def read(spark: SparkSession, name: str, path: str) -> DataFrame:
     if not rows.limit(1).count():
         raise DrainedError(path)
     return rows
+
+
+def register(name: str, writer: Callable[[DataFrame], DataFrame], reader: Callable[[SparkSession, str], DataFrame] | None = None) -> None:
+    """A format of lines, and how it is read if it is."""
+    FORMATS[name] = writer
+    if reader:
+        READERS[name] = reader
+
+
+def registered(name: str) -> tuple[Callable | None, Callable | None]:
+    return FORMATS.get(name), READERS.get(name)
+
+
+def unregister(name: str) -> bool:
+    """Whether there was one."""
+    had = name in FORMATS or name in READERS
+    FORMATS.pop(name, None), READERS.pop(name, None)
+    return had
+
+
+def formats() -> list[str]:
+    return sorted({*FORMATS, "parquet"})

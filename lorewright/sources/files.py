@@ -70,6 +70,43 @@ def text(spark: SparkSession, *bodies: str) -> DataFrame:
     return spark.createDataFrame([(str(k), "text:", b) for k, b in enumerate(bodies)], "doc_id string, source string, text string")
 
 
+def reader(spark: SparkSession, ref: str, stream: object, chunk: int = 1 << 20, most: int = 32 << 20) -> DataFrame:
+    """One document from an open stream, such as stdin, which only the driver can read; beyond most bytes it raises SizeError."""
+    body = b""
+    while part := stream.read(chunk):
+        body += part.encode() if isinstance(part, str) else part
+        if len(body) > most:
+            raise SizeError(f"{ref} exceeds {most} bytes")
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    return _docs(spark.createDataFrame([(ref, None, len(body), bytearray(body))], kind))
+
+
+def func(make: Callable[[str], list[tuple[str, str]]]) -> Callable[[SparkSession, str], DataFrame]:
+    """A source, to be registered, from a callable that gives (doc_id, text) for a reference."""
+
+    def run(spark: SparkSession, ref: str) -> DataFrame:
+        return spark.createDataFrame([(d, ref, t) for d, t in make(ref)], "doc_id string, source string, text string")
+
+    return run
+
+
+ORIGIN = ("offset", "size", "mod", "hash", "type", "mime", "status", "at")
+
+
+def origin(content: Column, mime: Column | None = None, offset: Column | None = None, status: Column | None = None, mod: Column | None = None, at: Column | None = None) -> Column:
+    """Where a document came from, as a map that leaves out what is unknown or zero; size always stands."""
+    kind = F.regexp_extract(F.coalesce(mime if mime is not None else F.lit(None).cast("string"), _magic(content)), r"([a-z]+)$", 1)
+    given = {"offset": F.nullif(offset, F.lit(0)) if offset is not None else None, "size": F.octet_length(content), "mod": mod, "hash": F.sha2(content, 256), "type": kind, "mime": mime if mime is not None else _magic(content), "status": F.nullif(status, F.lit(0)) if status is not None else None, "at": at}
+    every = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in given.items() if v is not None]))
+    return F.map_filter(every, lambda _, v: v.isNotNull())
+
+
+def origin_of(meta: Column) -> Column:
+    """The origin that a map tells of; fields it doesn't have are null or 0."""
+    number = lambda k: F.coalesce(meta[k].try_cast("long"), F.lit(0).cast("long")).alias(k)
+    return F.struct(number("offset"), number("size"), meta["mod"].try_cast("timestamp").alias("mod"), F.coalesce(meta["hash"], F.lit("")).alias("hash"), F.coalesce(meta["type"], F.lit("")).alias("type"), F.coalesce(meta["mime"], F.lit("")).alias("mime"), number("status"), meta["at"].try_cast("timestamp").alias("at"))
+
+
 def internal(host: str, port: int = 80) -> bool:
     """Whether a name leads to a loopback, private, link-local, shared or reserved address; a name that leads nowhere counts as one."""
     try:
@@ -93,7 +130,21 @@ def web(spark: SparkSession, urls: list[str], get: Callable[[str], tuple[int, by
     return spark.createDataFrame(out, "source string, text string, error string")
 
 
-REGISTRY: dict[str, Callable[..., DataFrame]] = {"file": file, "dir": folder, "glob": glob, "jsonl": lines, "csv": rows, "text": text, "web": web}
+REGISTRY: dict[str, Callable[..., DataFrame]] = {"file": file, "dir": folder, "glob": glob, "jsonl": lines, "csv": rows, "text": text, "web": web, "reader": reader}
+
+
+def register(scheme: str, source: Callable[..., DataFrame]) -> None:
+    REGISTRY[scheme] = source
+
+
+def registered(scheme: str | None = None) -> list[str] | Callable[..., DataFrame]:
+    """All schemes, or the source of one."""
+    return sorted(REGISTRY) if scheme is None else REGISTRY[scheme]
+
+
+def unregister(scheme: str) -> bool:
+    """Whether there was one."""
+    return REGISTRY.pop(scheme, None) is not None
 
 
 def ingest(spark: SparkSession, scheme: str, *args: object, **options: object) -> DataFrame:

@@ -168,9 +168,9 @@ def test_chunks_tile(spark, name, size):
         assert all(body.encode()[r.start : r.end].decode() == r.text for r in own)
 
 
-def test_semantic_split(spark):
+def test_by_meaning_split(spark):
     docs = spark.createDataFrame([(1, "A a. A b. B c. B d.")], "doc_id long, text string")
-    got = split.semantic(docs, lambda ss: [[1.0, 0.0] if s.startswith("A") else [0.0, 1.0] for s in ss], 0.5).orderBy("idx").collect()
+    got = split.by_meaning(docs, lambda ss: [[1.0, 0.0] if s.startswith("A") else [0.0, 1.0] for s in ss], 0.5).orderBy("idx").collect()
     assert [r.text for r in got] == ["A a. A b. ", "B c. B d."]
 
 
