@@ -540,6 +540,57 @@ def graph_put(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", F.col("props")["first"].alias("first"), F.col("props")["second"].alias("second"))
 
 
+def _small(spark: SparkSession, *links: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    t = _rows(spark, "ord long, s string, p string, o string, score double, doc string", *[(k, a, "r", b, 0.0, "") for k, (a, b) in enumerate(links)])
+    return graph.nodes(t), graph.edges(t)
+
+
+_CLIQUES = [("1", "2"), ("2", "3"), ("1", "3"), ("4", "5"), ("5", "6"), ("4", "6"), ("3", "4")]
+
+
+@query("SELECT * FROM (VALUES ('3', '4'), ('6', '7'), ('7', '8')) t(src, dst)")
+def graph_bridges_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Two triangles, a link between them and a tail: the triangles' links are no bridges, nor is a doubled one."""
+    return graph.bridges(*_small(spark, *_CLIQUES, ("6", "7"), ("7", "8"))).select("src", "dst")
+
+
+@query("SELECT k::VARCHAR AS id, CASE WHEN k < 4 THEN '1' ELSE '4' END AS community FROM range(1, 7) t(k)")
+def graph_groups_cliques(spark: SparkSession, d: str) -> DataFrame:
+    node, edge = _small(spark, *_CLIQUES)
+    got = graph.groups(node, edge)
+    first = got.groupBy("community").agg(F.min("id").alias("first"))
+    return got.join(first, "community").select("id", F.col("first").alias("community"))
+
+
+@query("SELECT 'a' AS id, 1.0::DOUBLE AS score UNION ALL SELECT unnest(['b', 'c', 'd', 'e']), 0.5")
+def graph_eigen_star(spark: SparkSession, d: str) -> DataFrame:
+    """A star of four: a leaf has half of what its middle has."""
+    return graph.eigen(*_small(spark, ("a", "b"), ("a", "c"), ("a", "d"), ("a", "e")), rounds=400, tolerance=1e-12).select("id", F.round("score", 4).alias("score"))
+
+
+_RANK = "WITH RECURSIVE r(k, a, b, c) AS (SELECT 0, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE UNION ALL SELECT k + 1, 0.05 + 0.85 * c, 0.05 + 0.85 * a / 2, 0.05 + 0.85 * (a / 2 + b) FROM r WHERE k < 200)"
+
+
+def _ranked(name: str, small: int) -> None:
+    """PageRank of a ring with a short cut, in one task and as joins."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        was = graph.SMALL
+        graph.SMALL = small
+        try:
+            got = graph.rank(*_small(spark, ("a", "b"), ("a", "c"), ("b", "c"), ("c", "a")), rounds=60, tolerance=1e-9)
+            return got.select("id", F.round("score", 6).alias("score"))
+        finally:
+            graph.SMALL = was
+
+    run.__name__ = name
+    query(f"{_RANK} SELECT 'a' AS id, round(a, 6) AS score FROM r WHERE k = 200 UNION ALL SELECT 'b', round(b, 6) FROM r WHERE k = 200 UNION ALL SELECT 'c', round(c, 6) FROM r WHERE k = 200")(run)
+
+
+_ranked("graph_rank_ring", graph.SMALL)
+_ranked("graph_rank_joins", 0)
+
+
 @query("SELECT o_orderkey::VARCHAR AS subject, 'status' AS prop, NULL::VARCHAR AS value, NULL::DOUBLE AS support FROM orders")
 def settle_flag(spark: SparkSession, d: str) -> DataFrame:
     claims = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("subject"), F.lit("status").alias("prop"), F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("ord"))

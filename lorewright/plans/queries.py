@@ -121,9 +121,13 @@ def graph_parts(spark: SparkSession, d: str) -> DataFrame:
     return graph.parts(*_graph(spark, d))
 
 
-@query()
+_TREE = f"""{_EDGE}, leaf AS (SELECT src AS id, dst AS nation FROM e WHERE label_key = 'in_nation'), k AS (SELECT src AS nation, dst AS region, (SELECT count(*) FROM leaf WHERE nation = e.src) AS k FROM e WHERE label_key = 'in_region'), g AS (SELECT region, count(*) AS m, sum(k) AS leaves, sum((k + 1) * (k + 1)) AS sq FROM k GROUP BY region), c AS (SELECT count(*) AS n FROM n)"""
+
+
+@query(f"""{_TREE}, s AS (SELECT (SELECT count(*) FROM leaf) + (SELECT sum(1 + 0.85 * k) FROM k) + (SELECT sum(1 + 0.85 * (m + 0.85 * leaves)) FROM g) AS s)
+SELECT id, round(1.0 / s, 8) AS score FROM leaf, s UNION ALL SELECT nation, round((1 + 0.85 * k) / s, 8) FROM k, s UNION ALL SELECT region, round((1 + 0.85 * (m + 0.85 * leaves)) / s, 8) FROM g, s""")
 def graph_rank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.rank(*_graph(spark, d)).select("id", F.round("score", 8).alias("score"))
+    return graph.rank(*_graph(spark, d), rounds=400, tolerance=1e-13).select("id", F.round("score", 8).alias("score"))
 
 
 @query()
@@ -137,12 +141,14 @@ def graph_bridges(spark: SparkSession, d: str) -> DataFrame:
     return graph.bridges(*_graph(spark, d, core=True))
 
 
-@query()
+@query(f"""{_TREE} SELECT leaf.id, round((leaves + m) / (1 + 2 + 2.0 * (k - 1) + 3 * (m - 1) + 4 * (leaves - k)), 8) AS score FROM leaf JOIN k USING (nation) JOIN g USING (region)
+UNION ALL SELECT nation, round((leaves + m) / (k + 1 + 2.0 * (m - 1) + 3 * (leaves - k)), 8) FROM k JOIN g USING (region) UNION ALL SELECT region, round((leaves + m) / (m + 2.0 * leaves), 8) FROM g""")
 def graph_close(spark: SparkSession, d: str) -> DataFrame:
     return graph.close(*_graph(spark, d)).select("id", F.round("score", 8).alias("score"))
 
 
-@query()
+@query(f"""{_TREE} SELECT id, 0.0::DOUBLE AS score FROM leaf UNION ALL SELECT nation, round(((leaves + m) * (leaves + m) - k - (leaves + m - k) * (leaves + m - k))::DOUBLE / ((n - 1) * (n - 2)), 8) FROM k JOIN g USING (region), c
+UNION ALL SELECT region, round(((leaves + m) * (leaves + m) - sq)::DOUBLE / ((n - 1) * (n - 2)), 8) FROM g, c""")
 def graph_between(spark: SparkSession, d: str) -> DataFrame:
     return graph.between(*_graph(spark, d)).select("id", F.round("score", 8).alias("score"))
 
@@ -184,7 +190,7 @@ def graph_modularity_all(spark: SparkSession, d: str) -> DataFrame:
     return graph.modularity(edge, node.select("id", kind.alias("community")))
 
 
-@query()
+@query(f"""{_EDGE} SELECT src, label_key, dst, lpad(lower(to_hex((list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(src || chr(1) || label_key || chr(1) || dst || chr(1), ''), lambda c: (CASE WHEN c = chr(1) THEN 0 ELSE ascii(c) END)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616))::UBIGINT)), 16, '0') AS id FROM e""")
 def graph_edge_ids(spark: SparkSession, d: str) -> DataFrame:
     return graph.with_ids(_graph(spark, d)[1]).select("src", "label_key", "dst", "id")
 
@@ -521,7 +527,7 @@ def text_normal_form(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", F.octet_length(T.form(F.col("text"), "NFD")).alias("bytes"))
 
 
-@query()
+@query("SELECT c_custkey, 'Customer#' || substr(c_name, 10) || ' ' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS title FROM customer")
 def text_title(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "customer").select("c_custkey", T.title(F.concat_ws(" ", "c_name", F.lower("c_mktsegment"))).alias("title"))
 
@@ -783,7 +789,10 @@ def retrieval_shared(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.shared(_t(spark, d, "documents"), _t(spark, d, "benchmark").select(F.col("item_id").alias("ask"), "text"), 5)
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM documents), f AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL), g AS (SELECT t, count(*) AS df FROM f GROUP BY t), n AS (SELECT count(*) AS n FROM documents),
+x AS (SELECT doc_id, t, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM f JOIN g USING (t), n), z AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM x GROUP BY doc_id),
+q AS (SELECT DISTINCT item_id AS ask, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM benchmark), s AS (SELECT ask, doc_id, sum(w / z) AS score FROM x JOIN z USING (doc_id) JOIN q USING (t) GROUP BY ALL),
+r AS (SELECT ask, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY ask ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def retrieval_answers(spark: SparkSession, d: str) -> DataFrame:
     asks = _t(spark, d, "benchmark").select(F.col("item_id").alias("ask"), "text")
     return retrieval.answers(_t(spark, d, "documents"), asks, 5).select("ask", "doc_id", F.round("score", 6).alias("score"), "rank")
