@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage works on all that the stage before it kept."""
+"""A corpus pipeline: each stage works on all that the stage before it kept.
+
+Defined results: null and empty texts are one text, of which the row of the largest doc_id stays; of rows that repeat both id and
+text one stays; a null id is a document below all others; of equal similarity no choice arises, since a group of near-duplicates
+keeps its smallest doc_id; very long texts are read whole; columns beyond doc_id and text are carried, whatever their names, until
+the last stage, which returns counts and digests; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
