@@ -9,14 +9,16 @@ atoms share become equi-join keys. Rounds are settled in the shared folder.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import settle
 
-DEPTH = 32
+DEPTH, PARTS = 32, 8
 
 
 class RuleError(ValueError):
@@ -134,11 +136,26 @@ def _atom(facts: DataFrame, pattern: Pattern, k: int) -> DataFrame:
     return rows.select(*[F.col(c).alias(_v(t)) for t, c in seen.items()], F.col("ord").alias(f"ord{k}"), weight.alias(f"w{k}"), key(F.col("s"), F.col("p"), F.col("o")).alias(f"k{k}"))
 
 
+def _order(rule: Rule, pinned: int) -> list[int]:
+    """The pinned atom, which is the small side, and then always one that shares a variable with those before; only what shares none is crossed."""
+    out, rest = [pinned], [i for i in range(len(rule.body)) if i != pinned]
+    bound = set(rule.body[pinned].variables())
+    while rest:
+        k = next((i for i in rest if bound & set(rule.body[i].variables())), None)
+        if k is None:
+            k = rest[0]
+            warnings.warn(f"an atom of {rule.name or rule.head} shares no variable with the others: all pairs are made", stacklevel=2)
+        out.append(k)
+        rest.remove(k)
+        bound |= set(rule.body[k].variables())
+    return out
+
+
 def _fire(rule: Rule, number: int, known: DataFrame, fresh: DataFrame) -> list[DataFrame]:
     out = []
     for pinned in range(len(rule.body)):
         joined, bound = None, set()
-        for k in [pinned, *(i for i in range(len(rule.body)) if i != pinned)]:  # the small side first
+        for k in _order(rule, pinned):
             own = _atom(fresh if k == pinned else known, rule.body[k], k)
             shared = [_v(v) for v in rule.body[k].variables() if v in bound]
             joined = own if joined is None else joined.join(own, shared) if shared else joined.crossJoin(own)
@@ -179,35 +196,43 @@ class Engine:
             r.check()
         first = Window.partitionBy("s", "p", "o").orderBy("ord")
         given = facts.where("trim(s) <> '' and trim(p) <> '' and trim(o) <> ''").withColumn("_k", F.row_number().over(first)).where("_k = 1")
-        model = settle(given.select("s", "p", "o", "score", F.lit("").alias("rule"), F.array().cast("array<string>").alias("premises"), F.lit(0).alias("depth"), F.col("ord").cast("long")))
-        fresh = model
+        fresh = settle(given.select("s", "p", "o", "score", F.lit("").alias("rule"), F.array().cast("array<string>").alias("premises"), F.lit(0).alias("depth"), F.col("ord").cast("long")))
+        parts, base = [fresh], fresh.agg(F.max("ord")).first()[0] or 0
         for depth in range(1, self.depth + 2):
+            if len(parts) > PARTS:  # many small tables are read slower than one
+                parts = [settle(reduce(DataFrame.union, parts))]
+            model = reduce(DataFrame.union, parts)
             derived = [d for n, r in enumerate(self.rules) for d in _fire(r, n, model, fresh)] + self._entailed(fresh)
             if not derived:
                 return model
-            all_ = derived[0]
-            for d in derived[1:]:
-                all_ = all_.union(d)
-            best = all_.where("s <> '' and p <> '' and o <> ''").groupBy("s", "p", "o").agg(F.min_by(F.struct("score", "rule", "premises", "by"), "by").alias("b"))
-            new = settle(best.join(model.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select("s", "p", "o", "b.*"))
-            if not new.limit(1).count():
+            best = reduce(DataFrame.union, derived).where("s <> '' and p <> '' and o <> ''").groupBy("s", "p", "o").agg(F.min_by(F.struct("score", "rule", "premises", "by"), "by").alias("b"))
+            new = best.join(model.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select("s", "p", "o", "b.*")
+            # ordinals within a round are ranks of the derivation's key; the text keys part what is left equal
+            ranked, many = _ranked(new, base)
+            if not many:
                 return model
             if depth > self.depth:
                 raise DepthError(model)
-            base = model.agg(F.max("ord")).first()[0]
-            # ordinals within a round are ranks of the derivation's key; the text keys part what is left equal
-            fresh = settle(_ranked(new, base).select("s", "p", "o", "score", "rule", "premises", F.lit(depth).alias("depth"), "ord"))
-            model = settle(model.union(fresh))
-        return model
+            fresh = settle(ranked.select("s", "p", "o", "score", "rule", "premises", F.lit(depth).alias("depth"), "ord"))
+            parts.append(fresh)
+            base += many
+        return reduce(DataFrame.union, parts)
 
 
-def _ranked(new: DataFrame, base: int) -> DataFrame:
-    """ord after base in the order of by, s, p, o, by ranges of that order."""
+def _ranked(new: DataFrame, base: int) -> tuple[DataFrame, int]:
+    """Rows with ord after base in the order of by, s, p, o, by ranges of that order, and how many there are."""
     keys = ["by", "s", "p", "o"]
     ranged = settle(new.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    before = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    counts = sorted(tuple(r) for r in ranged.groupBy("_part").count().collect())  # a row a partition
+    if not counts:
+        return ranged, 0
+    sums, total = [], 0
+    for part, n in counts:
+        sums.append((part, total))
+        total += n
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return ranged.join(F.broadcast(before), "_part").withColumn("ord", (F.col("_base") + own + base).cast("long")).drop("_part", "_base")
+    before = new.sparkSession.createDataFrame(sums, "_part int, _base long")
+    return ranged.join(F.broadcast(before), "_part").withColumn("ord", (F.col("_base") + own + base).cast("long")).drop("_part", "_base"), total
 
 
 def ancestors(tree: DataFrame, limit: int = 64) -> DataFrame:

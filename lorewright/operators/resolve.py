@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,53 +197,55 @@ def repeats(triples: DataFrame, threshold: float, metric: str = "jaro") -> DataF
     return rows.withColumn("like", 0.6 * alike(F.col("a_p"), F.col("b_p"), metric) + 0.4 * alike(F.col("a_o"), F.col("b_o"), metric)).where(F.col("like") >= threshold).select("a", "b", "like")
 
 
+def _word_hashes(text: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """FNV-1a of every text's distinct words, and each text's number of them; a word is hashed once a batch."""
+    known: dict[str, int] = {}
+
+    def fnv(word: str) -> int:
+        h = 0xCBF29CE484222325
+        for byte in word.encode():
+            h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        known[word] = h
+        return h
+
+    own = [[known[w] if w in known else fnv(w) for w in set((t or "").lower().split())] for t in text]
+    return np.array([h for hs in own for h in hs], np.uint64), np.array([len(hs) for hs in own], np.int64)
+
+
 @arrow("long")
 def simhash(text: pd.Series) -> pd.Series:
     """64-bit SimHash over distinct folded words, FNV-1a for each."""
-
-    def one(t: str | None) -> int:
-        counts = [0] * 64
-        for w in set((t or "").lower().split()):
-            h = 0xCBF29CE484222325
-            for byte in w.encode():
-                h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            for k in range(64):
-                counts[k] += 1 if h >> k & 1 else -1
-        out = sum(1 << k for k in range(64) if counts[k] > 0)
-        return out - (1 << 64) if out >> 63 else out
-
-    return text.map(one).astype("int64")
+    hashes, sizes = _word_hashes(text)
+    counts = np.zeros((len(text), 64), np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
+        counts[full] = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[full])
+    most = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little")
+    return pd.Series(most.view(np.int64)[:, 0])
 
 
 def simhash_near(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 @arrow("array<long>")
 def minhash(text: pd.Series) -> pd.Series:
-    """64 minima of mixed word hashes."""
-    import numpy as np
-
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-    seeds = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def one(t: str | None) -> list[int]:
-        words = sorted(set((t or "").lower().split()))
-        if not words:
-            return [-1] * 64
-        h = []
-        for w in words:
-            x = 0xCBF29CE484222325
-            for byte in w.encode():
-                x = (x ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            h.append(x)
-        return mixed(np.array(h, np.uint64)[:, None] ^ seeds).min(0).view(np.int64).tolist()
-
-    return text.map(one)
+    """64 minima of mixed word hashes, -1 in each place where there is no word."""
+    seeds = _mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    hashes, sizes = _word_hashes(text)
+    out = np.full((len(text), 64), -1, np.int64)
+    full = np.flatnonzero(sizes)
+    begins = (np.cumsum(sizes) - sizes)[full]
+    for k, seed in enumerate(seeds if len(full) else []):
+        out[full, k] = np.minimum.reduceat(_mixed(hashes ^ seed), begins).view(np.int64)
+    return pd.Series(out.tolist())
 
 
 def minhash_like(a: Column, b: Column) -> Column:
