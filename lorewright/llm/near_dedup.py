@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import whole_groups
-from .textkit import U64, components, cut, distinct, flat, joined, light, mix, pieces, shingles, signed, words
+from .textkit import U64, Stored, components, cut, distinct, flat, joined, light, mix, pieces, shingles, signed, words
 
 WORDS, SIMILARITY = 5, 0.8
 TABLES, BITS, ADDED, SUBTABLES, CAP, RADIUS = 96, 12, 8, 4, 4096, 32
@@ -280,13 +280,14 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_SHINGLES)).cast("long")
     groups = cut(groups.join(groups.groupBy("root").agg(F.count("*").alias("members"), tiles.alias("tiles")), "root").drop("size"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FLOOR)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(texts.join(groups, "id"))  # the texts of candidates, which are dealt more than once
+    tables = Stored(docs.sparkSession)
+    rows = tables.put("candidate-texts", texts.join(groups, "id"))  # dealt more than once
     tiles = F.col("tiles")
     # in a component of more than a tile, members of small hashes stand in all its tiles
     everywhere = F.pmod(F.xxhash64("id", F.lit(3)), F.col("members")) < HUBS
     own = F.array(F.pmod(F.xxhash64("id", F.lit(5)), tiles))
     if not (groups.agg(F.max("tiles")).first()[0] or 0) > 1:
-        return components(_grouped(rows.select("root", F.lit(0).alias("tile"), "id", F.lit(False).alias("lead"), "text")))
+        return _joined(_grouped(rows.select("root", F.lit(0).alias("tile"), "id", F.lit(False).alias("lead"), "text")), tables)
     dealt = rows.select("root", "id", "text", F.explode(F.when(everywhere & (tiles > 1), F.sequence(F.lit(0).cast("long"), tiles - 1)).otherwise(own)).alias("tile"), F.lit(False).alias("lead"))
     edges = cut(_grouped(dealt))
     parts = components(edges).select(F.col("node").alias("id"), F.col("root").alias("part"))
@@ -297,14 +298,21 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     # each of the rest leads in every block of every tile; a block holds TILE of the rest at most on average
     blocks = rest.groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
     if not blocks.limit(1).count():
-        return components(edges)
+        return _joined(edges, tables)
     t, k = F.col("tile").cast("long"), F.col("block")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     follow = rows.join(blocks, "root").select("root", "id", "text", own[0].alias("tile"), "blocks", every)
     lead = rows.join(rest.select("id"), "id", "left_semi").join(blocks, "root").select("root", "id", "text", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).alias("block"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"))
     key = (t * F.col("blocks") + k).alias("tile")
     more = _grouped(follow.select("root", key, "id", F.lit(False).alias("lead"), "text").union(lead.select("root", key, "id", F.lit(True).alias("lead"), "text")))
-    return components(edges.union(more))
+    return _joined(edges.union(more), tables)
+
+
+def _joined(edges: DataFrame, tables: Stored) -> DataFrame:
+    """Components of edges; the texts that the edges were found in go."""
+    out = components(edges)
+    tables.drop("candidate-texts")
+    return out
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -239,23 +239,26 @@ def light(df: DataFrame) -> DataFrame:
     return df
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) of every node of the edges (a, b), the root being the component's smallest node.
 
     Alternates large and small stars; minima are partial aggregates, and the joins back are left to adaptive skew splitting,
-    so a hub with very many edges never meets in one task.
+    so a hub with very many edges never meets in one task. A round's edges are dropped once the next has been stored. Raises
+    RuntimeError if labels still move after rounds, which halve what is left of every path.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tables = Stored(edges.sparkSession)
+    now = tables.put("edges-0", edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        now = cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = tables.put(f"edges-{k}", small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
+        tables.drop(f"edges-{k - 1}")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
         mark = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
+    raise RuntimeError(f"components still move after {rounds} rounds")
