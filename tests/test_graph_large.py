@@ -48,7 +48,23 @@ def walks(links):
 def test_measures_equal_plain_walks(spark, monkeypatch, seed, small):
     links = random_links(seed)
     node, edge = built(spark, links)
+    near, dist, ways = walks(links)
+    n = len(near)
     monkeypatch.setattr(graph, "SMALL", small)
+    close = {r.id: r.score for r in graph.close(node, edge).collect()}
+    assert close == pytest.approx({s: (len(d) - 1) / sum(d.values()) if len(d) > 1 else 0.0 for s, d in dist.items()})
+    between = {r.id: r.score for r in graph.between(node, edge).collect()}
+    through = lambda v: sum(ways[s][v] * ways[v][t] / ways[s][t] for s in near for t in dist[s] if s != t and v not in (s, t) and v in dist[s] and dist[s][v] + dist[v][t] == dist[s][t])
+    assert between == pytest.approx({v: through(v) / ((n - 1) * (n - 2)) for v in near})
     bridges = {frozenset((r.src, r.dst)) for r in graph.bridges(node, edge).collect()}
     parted = lambda a, b: b not in walks([x for x in links if set(x) != {a, b}] + [(a, a), (b, b)])[1][a]
     assert bridges == {frozenset((a, b)) for a, b in links if a != b and parted(a, b)}
+
+
+def test_blocks_of_sources_add_up(spark, monkeypatch):
+    node, edge = built(spark, random_links(4))
+    want = {m: {r.id: r.score for r in getattr(graph, m)(node, edge).collect()} for m in ("close", "between")}
+    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(graph, "PAIRS", 60)
+    for m in want:
+        assert {r.id: r.score for r in getattr(graph, m)(node, edge).collect()} == pytest.approx(want[m])
