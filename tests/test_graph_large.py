@@ -68,3 +68,9 @@ def test_blocks_of_sources_add_up(spark, monkeypatch):
     monkeypatch.setattr(graph, "PAIRS", 60)
     for m in want:
         assert {r.id: r.score for r in getattr(graph, m)(node, edge).collect()} == pytest.approx(want[m])
+
+
+def test_no_measure_refuses_a_graph_beyond_one_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", 3)
+    node, edge = built(spark, [("a", "b"), ("a", "c"), ("a", "d"), ("b", "e"), ("c", "d"), ("d", "f")])
+    assert graph.bridges(node, edge).count() == 3 and graph.close(node, edge).count() == graph.between(node, edge).count() == graph.groups(node, edge).count() == 6
