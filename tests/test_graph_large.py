@@ -74,3 +74,13 @@ def test_no_measure_refuses_a_graph_beyond_one_task(spark, monkeypatch):
     monkeypatch.setattr(graph, "SMALL", 3)
     node, edge = built(spark, [("a", "b"), ("a", "c"), ("a", "d"), ("b", "e"), ("c", "d"), ("d", "f")])
     assert graph.bridges(node, edge).count() == 3 and graph.close(node, edge).count() == graph.between(node, edge).count() == graph.groups(node, edge).count() == 6
+
+
+def test_ranks_of_a_graph_without_cycles_end_with_its_longest_path(spark, monkeypatch):
+    node, edge = built(spark, [("a", "c"), ("b", "c"), ("c", "d")])
+    monkeypatch.setattr(graph, "SMALL", 0)
+    rounds, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: rounds.append(1) or settle(df))
+    got = {r.id: r.score for r in graph.rank(node, edge, rounds=400, tolerance=1e-13).collect()}
+    y = {"a": 1.0, "b": 1.0, "c": 2.7, "d": 1 + 0.85 * 2.7}
+    assert got == pytest.approx({k: v / sum(y.values()) for k, v in y.items()}) and len(rounds) < 8
