@@ -84,3 +84,17 @@ def test_ranks_of_a_graph_without_cycles_end_with_its_longest_path(spark, monkey
     got = {r.id: r.score for r in graph.rank(node, edge, rounds=400, tolerance=1e-13).collect()}
     y = {"a": 1.0, "b": 1.0, "c": 2.7, "d": 1 + 0.85 * 2.7}
     assert got == pytest.approx({k: v / sum(y.values()) for k, v in y.items()}) and len(rounds) < 8
+
+
+def test_kinds_of_nodes_have_the_entries_of_single_nodes(spark, monkeypatch):
+    node, edge = built(spark, random_links(5))
+    want = {r.id: r.score for r in graph.eigen(node, edge).collect()}
+    for small in (40, 0):
+        monkeypatch.setattr(graph, "SMALL", small)
+        assert {r.id: r.score for r in graph.eigen(node, edge).collect()} == pytest.approx(want)
+    rows, settle = [], graph.settle
+    star = built(spark, [("m", f"s{k}") for k in range(30)])
+    monkeypatch.setattr(graph, "SMALL", 4)
+    monkeypatch.setattr(graph, "settle", lambda df: rows.append(1) or settle(df))
+    graph.eigen(*star)
+    assert len(rows) < 8
