@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.udf import light
+
 ENTITIES = "doc_id long, idx int, text string, label string, start int, `end` int, score double"
 RELATIONS = "doc_id long, idx int, subject string, predicate string, object string, start int, `end` int, score double"
 _SHAPES = [
@@ -48,7 +50,7 @@ def entities(chunks: DataFrame, gazetteer: dict[str, str], least: float = 0.0) -
             rows = [(d, i, t[a:b], label, a, b, score) for d, i, t in zip(pdf.doc_id, pdf.idx, pdf.text.fillna("")) for a, b, label, score in spans(t, gazetteer, least)]
             yield pd.DataFrame(rows, columns=["doc_id", "idx", "text", "label", "start", "end", "score"])
 
-    return chunks.select("doc_id", "idx", "text").mapInPandas(run, ENTITIES)
+    return light(chunks.select("doc_id", "idx", "text")).mapInPandas(run, ENTITIES)
 
 
 def relations(chunks: DataFrame, gazetteer: dict[str, str], score: float = 0.8) -> DataFrame:
@@ -66,7 +68,7 @@ def relations(chunks: DataFrame, gazetteer: dict[str, str], score: float = 0.8)
                             rows.append((d, i, t[a0:a1], predicate, t[b0:b1], a0, b1, score))
             yield pd.DataFrame(rows, columns=["doc_id", "idx", "subject", "predicate", "object", "start", "end", "score"])
 
-    return chunks.select("doc_id", "idx", "text").mapInPandas(run, RELATIONS)
+    return light(chunks.select("doc_id", "idx", "text")).mapInPandas(run, RELATIONS)
 
 
 def fit(between: str, preds: list[str]) -> tuple[str, float]:
@@ -115,7 +117,7 @@ def mentions(chunks: DataFrame, found: DataFrame) -> DataFrame:
             rows = [(d, i, m[0], m.start()) for d, i, t in zip(pdf.doc_id, pdf.idx, pdf.text.fillna("")) for m in _PRONOUNS.finditer(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "idx", "text", "start"])
 
-    said = chunks.select("doc_id", "idx", "text").mapInPandas(run, "doc_id long, idx int, text string, start int").withColumn("name", F.lit(None).cast("string"))
+    said = light(chunks.select("doc_id", "idx", "text")).mapInPandas(run, "doc_id long, idx int, text string, start int").withColumn("name", F.lit(None).cast("string"))
     return said.union(found.select("doc_id", "idx", "text", "start", F.col("text").alias("name")))
 
 
@@ -191,7 +193,7 @@ def by_model(chunks: DataFrame, model: Callable[[str], str]) -> DataFrame:
                         rows.append((d, i, str(x["subject"]), str(x["predicate"]), str(x["object"]), 0, len(t), min(max(float(x.get("score") or 0), 0), 1)))
             yield pd.DataFrame(rows, columns=["doc_id", "idx", "subject", "predicate", "object", "start", "end", "score"])
 
-    return chunks.select("doc_id", "idx", "text").mapInPandas(run, RELATIONS)
+    return light(chunks.select("doc_id", "idx", "text")).mapInPandas(run, RELATIONS)
 
 
 def find(chunks: DataFrame, *finders: Callable[[DataFrame], DataFrame]) -> DataFrame:
