@@ -87,12 +87,31 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+WORDS = 2_000_000  # terms, or terms of questions, sent to all tasks as one table
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A settled table, marked to be sent to all tasks if it has at most WORDS rows: a join on terms then moves no other row, and common terms meet in no one task."""
+    table = settle(table)
+    return F.broadcast(table) if table.limit(WORDS + 1).count() <= WORDS else table
+
+
+def _dealt(docs: DataFrame, key: str) -> DataFrame:
+    """(key, text) with the rows of a key in one task, so that what is counted by key and term moves no more."""
+    return docs.select(key, "text").repartition(key)
+
+
+def _weighed(docs: DataFrame, key: str) -> DataFrame:
+    """(key, term, w): tf times idf."""
+    f = _dealt(docs, key).select(key, F.explode(terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    df = _sent(f.groupBy("term").agg(F.count("*").alias("df")))
+    n = docs.agg(F.count("*").alias("n"))
+    return f.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))  # one row
+
+
 def vectors(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, term, weight): tf times idf, scaled to length one, as a sparse table."""
-    f = docs.select(key, F.explode(terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = f.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    x = f.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+    x = _weighed(docs, key)
     size = x.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("size"))
     return x.join(size, key).select(key, "term", (F.col("w") / F.col("size")).alias("weight"))
 
@@ -117,21 +136,30 @@ def counted(docs: DataFrame, key: str = "doc_id", pattern: str = r"([a-z]+)") ->
 
 
 def heaviest(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """(key, term, weight): the k terms of each document that weigh most by tf times idf. Counts are stored once and read twice."""
-    f = settle(counted(docs, key))
-    df = f.groupBy("term").agg(F.count("*").alias("df"))
+    """(key, term, weight): the k terms of each document that weigh most by tf times idf. Texts move once a pass, counts do not."""
+    f = counted(_dealt(docs, key), key)
+    df = _sent(f.groupBy("term").agg(F.count("*").alias("df")))
     n = docs.agg(F.count("*").alias("n"))
     x = f.join(df, "term").crossJoin(F.broadcast(n)).withColumn("v", F.col("tf") * F.log(F.col("n") / F.col("df")))  # one row
     best = Window.partitionBy(key).orderBy(F.desc(F.round("v", 9)), "term")
     return x.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).select(key, "term", F.round("v", 6).alias("weight"))
 
 
+def _best(scored: DataFrame, k: int, key: str, order: Column) -> DataFrame:
+    """scored with the k best of each ask ranked."""
+    best = Window.partitionBy("ask").orderBy(order, key)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def shared(docs: DataFrame, asks: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """(ask, key, shared, rank): the k documents that have most of a question's terms, through a join on the terms."""
-    each = lambda df, c: counted(df, c).select(c, "term")
-    found = each(docs, key).join(each(asks, "ask"), "term").groupBy("ask", key).agg(F.count("*").alias("shared"))
-    best = Window.partitionBy("ask").orderBy(F.desc("shared"), key)
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    """(ask, key, shared, rank): the k documents that have most of a question's terms, through a join on the terms.
+
+    The questions' terms go to the documents, so that a common term meets in no one task; what a document shares is counted where it is.
+    """
+    q = counted(asks, "ask").select("ask", "term")
+    sought = _sent(q.groupBy("term").agg(F.collect_list("ask").alias("asks")))
+    found = counted(_dealt(docs, key), key).join(sought, "term").select(key, F.explode("asks").alias("ask")).groupBy("ask", key).agg(F.count("*").alias("shared"))
+    return _best(found, k, key, F.desc("shared"))
 
 
 _SELF = r"(?i)\b(i|i'm|i've|i'd|i'll|me|my|mine|we|our)\b"
@@ -156,12 +184,14 @@ def evaluate(results: DataFrame, by: list[str]) -> DataFrame:
 
 
 def answers(docs: DataFrame, asks: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """(ask, key, score, rank): the k nearest of docs to each of asks (ask, text) by weighted terms; only shared terms are joined."""
-    weights = vectors(docs, key)
-    q = asks.select("ask", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    scored = weights.join(q, "term").groupBy("ask", key).agg(F.sum("weight").alias("score"))
-    best = Window.partitionBy("ask").orderBy(F.desc(F.round("score", 9)), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    """(ask, key, score, rank): the k nearest of docs to each of asks (ask, text) by weighted terms; only shared terms are joined.
+
+    The questions' terms go to the documents, and a document's length and scores are added up where it is.
+    """
+    q = asks.select("ask", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
+    sought = _sent(q.groupBy("term").agg(F.collect_list("ask").alias("asks")))
+    scored = vectors(docs, key).join(sought, "term").select(key, "weight", F.explode("asks").alias("ask")).groupBy("ask", key).agg(F.sum("weight").alias("score"))
+    return _best(scored, k, key, F.desc(F.round("score", 9)))
 
 
 def overlap_f1(a: Column, b: Column) -> Column:
