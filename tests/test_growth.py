@@ -33,3 +33,9 @@ def test_results_do_not_hang_on_how_terms_meet(spark, docs, monkeypatch, words):
     assert found(retrieval.shared(docs, asks, 2).select("ask", "doc_id", "shared", "rank")) == [(1, 1, 2, 1), (1, 5, 2, 2), (2, 1, 1, 1)]
     assert found(retrieval.answers(docs, asks, 2).select("ask", "doc_id", "rank")) == [(1, 1, 2), (1, 5, 1), (2, 1, 1)]
     assert [r[:2] for r in found(retrieval.heaviest(docs, 1).select("doc_id", "term"))] == [(1, "cat"), (2, "bird"), (5, "dog")]
+
+
+def test_bags_of_long_answers(spark):
+    df = spark.createDataFrame([("a a b", "a b b c"), ("", "a"), (None, "a"), (" ".join(f"w{k}" for k in range(20_000)), " ".join(f"w{k}" for k in range(0, 20_000, 2)))], "a string, b string")
+    got = [r[0] for r in df.select(retrieval.overlap_f1(F.col("a"), F.col("b"))).collect()]
+    assert got == pytest.approx([4 / 7, 0.0, 0.0, 2 / 3])
