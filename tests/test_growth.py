@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewright.operators import retrieval
+from lorewright.plans import iterate
 
 
 @pytest.fixture
@@ -39,3 +40,15 @@ def test_bags_of_long_answers(spark):
     df = spark.createDataFrame([("a a b", "a b b c"), ("", "a"), (None, "a"), (" ".join(f"w{k}" for k in range(20_000)), " ".join(f"w{k}" for k in range(0, 20_000, 2)))], "a string, b string")
     got = [r[0] for r in df.select(retrieval.overlap_f1(F.col("a"), F.col("b"))).collect()]
     assert got == pytest.approx([4 / 7, 0.0, 0.0, 2 / 3])
+
+
+def test_chains_told_in_order_need_one_round(spark, monkeypatch):
+    chains = spark.range(0, 3000, 1, 1).where("id % 30 <> 29").select(F.concat(F.lit("n"), F.lpad("id", 5, "0")).alias("u"), F.concat(F.lit("n"), F.lpad(F.col("id") + 1, 5, "0")).alias("v"))
+    rounds, settle = [], iterate.settle
+    monkeypatch.setattr(iterate, "settle", lambda df: rounds.append(1) or settle(df))
+    got = {r.node: r.root for r in iterate.components(chains).collect()}
+    assert got == {f"n{k:05}": f"n{k - k % 30:05}" for k in range(3000)} and len(rounds) == 2
+    mixed = chains.repartition(7, F.rand(3)).union(chains.limit(1).select(F.lit("n00000"), F.lit("n02999")))
+    assert {r.root for r in iterate.components(mixed).where("node in ('n02999', 'n02971')").collect()} == {"n00000"}
+    longs = spark.range(100).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r.root for r in iterate.components(longs).collect()} == {0}
